@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, minhash, quality, sharding
+from . import decontaminate, embeddings, langid, lm, minhash, packing, pii, quality, sharding, substrings
 from .common import table
 
 SHARD_BYTES = 1 << 20
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -20,6 +24,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted_language(docs, langid.train(docs))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_removed(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +54,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_embeddings": op2_embeddings,
     "op3_language": op3_language,
+    "op4_substrings": op4_substrings,
+    "op5_pii": op5_pii,
+    "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
