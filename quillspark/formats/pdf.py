@@ -231,8 +231,9 @@ FILTERS["AHx"] = FILTERS["ASCIIHexDecode"]
 class Document:
     """Objects of a file: by its cross-reference where that works, else by a search for objects."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str = ""):
         self.data = data
+        self.lock = None
         self.offsets: dict[int, int] = {}
         self.packed: dict[int, tuple[int, int]] = {}
         self.trailer: dict = {}
@@ -245,6 +246,28 @@ class Document:
             pass
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             self._search()
+        locked = self.get(self.trailer.get("Encrypt"))
+        if isinstance(locked, dict):
+            from .crypto import Opened
+
+            ident = self.get(self.trailer.get("ID"))
+            lock = Opened({k: self.get(v) for k, v in locked.items()}, ident[0] if ident else b"", password)
+            self._cache.clear()
+            self.lock = lock
+            self._plain = self.trailer["Encrypt"][0] if isinstance(self.trailer["Encrypt"], Ref) else None
+
+    def _unlocked(self, v, number: int, generation: int):
+        """An object's strings and stream decrypted."""
+        if isinstance(v, bytes):
+            return self.lock.decrypt(v, number, generation)
+        if isinstance(v, list):
+            return [self._unlocked(x, number, generation) for x in v]
+        if isinstance(v, dict):
+            return {k: self._unlocked(x, number, generation) for k, x in v.items()}
+        if isinstance(v, Stream):
+            raw = v.raw if v.info.get("Type") == "XRef" else self.lock.decrypt(v.raw, number, generation)
+            return Stream(self._unlocked(v.info, number, generation), raw)
+        return v
 
     def _xref(self, at: int) -> None:
         seen = set()
@@ -348,6 +371,8 @@ class Document:
                 got = self._at(self.offsets[k]) if k in self.offsets else self._from_packed(*self.packed[k]) if k in self.packed else None
             finally:
                 self._busy.discard(k)
+            if self.lock is not None and k in self.offsets and k != self._plain:
+                got = self._unlocked(got, k, v[1])
             v = self._cache[k] = got
         return v
 
@@ -763,6 +788,47 @@ class Writer:
         self._ops().append(f"[{' '.join(map(_number, pattern))}] 0 d".encode())
         return self
 
+    def rounded(self, x: float, y: float, w: float, h: float, r: float) -> Writer:
+        k = 0.4477152502 * r
+        for points in (((x + r, y), (x + k, y), (x, y + k), (x, y + r)), ((x, y + h - r), (x, y + h - k), (x + k, y + h), (x + r, y + h)), ((x + w - r, y + h), (x + w - k, y + h), (x + w, y + h - k), (x + w, y + h - r)), ((x + w, y + r), (x + w, y + k), (x + w - k, y), (x + w - r, y))):
+            self.curve(*points)
+        return self.line(x + r, y, x + w - r, y).line(x + r, y + h, x + w - r, y + h).line(x, y + r, x, y + h - r).line(x + w, y + r, x + w, y + h - r)
+
+    def arc(self, x: float, y: float, rx: float, ry: float, start: float, sweep: float) -> Writer:
+        """Part of an ellipse, in degrees, as curves of a quarter at most."""
+        n = max(1, math.ceil(abs(sweep) / 90))
+        step = math.radians(sweep / n)
+        k, points = 4 / 3 * math.tan(step / 4), []
+        at = lambda a: (x + rx * math.cos(a), y + ry * math.sin(a))
+        for i in range(n):
+            a = math.radians(start) + i * step
+            b = a + step
+            p, q = at(a), at(b)
+            points += ([p] if i == 0 else []) + [(p[0] - k * rx * math.sin(a), p[1] + k * ry * math.cos(a)), (q[0] + k * rx * math.sin(b), q[1] - k * ry * math.cos(b)), q]
+        return self.curve(*points)
+
+    def gradient(self, x: float, y: float, w: float, h: float, start: tuple[float, float, float], end: tuple[float, float, float], steps: int = 32) -> Writer:
+        for i in range(steps):
+            t = i / max(1, steps - 1)
+            self.rect(x + w * i / steps, y, w / steps + 0.5, h, tuple(a + t * (b - a) for a, b in zip(start, end, strict=True)))
+        return self
+
+    def qr(self, content: str, x: float, y: float, size: float = 100) -> Writer:
+        from .qr import matrix
+
+        rows = matrix(content)
+        step = size / len(rows)
+        for r, line in enumerate(rows):
+            for c, dark in enumerate(line):
+                if dark:
+                    self.rect(x + c * step, y + r * step, step, step, (0, 0, 0))
+        return self
+
+    def rotate(self, degrees: int) -> Writer:
+        self._ops()
+        self.pages[-1]["rotate"] = degrees % 360
+        return self
+
     def image(self, jpeg: bytes, x: float, y: float, w: float, h: float) -> Writer:
         m = re.search(rb"\xff[\xc0-\xc2]..(.)(..)(..)", jpeg, re.DOTALL)
         self.images.append((jpeg, int.from_bytes(m[3], "big") if m else 1, int.from_bytes(m[2], "big") if m else 1))
@@ -853,6 +919,9 @@ class Writer:
                 named.append(f"{_literal(name)} {spec} 0 R")
             more += f" /Names << /EmbeddedFiles << /Names [{' '.join(named)}] >> >>"
         objects[catalog - 1] = f"<< /Type /Catalog /Pages {root} 0 R{more} >>".encode("latin-1")
+        if self.info:
+            meta = stream(xmp(self.info).encode(), " /Type /Metadata /Subtype /XML", packed=False)
+            objects[catalog - 1] = objects[catalog - 1][:-3] + f" /Metadata {meta} 0 R >>".encode()
         keys = {"title": "Title", "author": "Author", "subject": "Subject", "creation_date": "CreationDate"}
         info = add("<< " + " ".join(f"/{keys[k]} {_literal(v)}" for k, v in self.info.items() if k in keys and v) + " >>")
         out, places = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
@@ -865,6 +934,15 @@ class Writer:
         return bytes(out)
 
 
+def xmp(info: dict[str, str]) -> str:
+    """The metadata packet of a document's information."""
+    from .xml import esc
+
+    tags = {"title": '<dc:title><rdf:Alt><rdf:li xml:lang="x-default">{}</rdf:li></rdf:Alt></dc:title>', "author": "<dc:creator><rdf:Seq><rdf:li>{}</rdf:li></rdf:Seq></dc:creator>", "subject": '<dc:description><rdf:Alt><rdf:li xml:lang="x-default">{}</rdf:li></rdf:Alt></dc:description>', "creation_date": "<xmp:CreateDate>{}</xmp:CreateDate>"}
+    body = "".join(tags[k].format(esc(v)) for k, v in info.items() if k in tags and v)
+    return f'<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmp="http://ns.adobe.com/xap/1.0/">{body}</rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+
+
 def _literal(s: str) -> str:
     return "<" + (s.encode("latin-1") if s.isascii() else b"\xfe\xff" + s.encode("utf-16-be")).hex() + ">"
 

@@ -46,8 +46,14 @@ class Workbook:
     def value(self, c):
         """A cell's value: by type, then by the number format of its style."""
         kind, style = c.get("t"), c.get("s")
-        v = find(c, "v")
-        raw = inner(v) if v is not None else inner(find(c, "is")) if find(c, "is") is not None else None
+        raw = None
+        for e in c:
+            n = local(e)
+            if n == "v":
+                raw = e.text or ""
+                break
+            if n == "is":
+                raw = inner(e)
         if raw is None:
             return None
         if kind == "b":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
@@ -19,8 +20,13 @@ def parse(data: bytes) -> ET.Element:
     return ET.fromstring(data)
 
 
+@functools.lru_cache(4096)
+def _local(tag) -> str:
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+
+
 def local(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    return _local(e.tag)
 
 
 def attr(e: ET.Element, name: str, default: str | None = None) -> str | None:
@@ -37,11 +43,11 @@ def find(e: ET.Element | None, *path: str) -> ET.Element | None:
 
 
 def children(e: ET.Element | None, name: str) -> list[ET.Element]:
-    return [c for c in e if local(c) == name] if e is not None else []
+    return [c for c in e if _local(c.tag) == name] if e is not None else []
 
 
 def every(e: ET.Element | None, name: str) -> list[ET.Element]:
-    return [c for c in e.iter() if local(c) == name] if e is not None else []
+    return [c for c in e.iter() if _local(c.tag) == name] if e is not None else []
 
 
 def text(e: ET.Element | None) -> str:

@@ -124,16 +124,16 @@ def read_table(cells: DataFrame, sheet: str | None = None, mode: str = "infer",
     The header is collected: one row of one sheet. Files must agree in it; others' columns are null.
     """
     own = cells.where(F.col("sheet") == sheet) if sheet else cells
-    head = own.where("`row` = 0").groupBy("col").agg(F.min("value").alias("name")).orderBy("col").limit(16384).collect()
+    top, below = F.col("row") == 0, F.col("row") > 0
+    seen = F.collect_set(F.when(below & (F.col("kind") != "null"), F.col("kind"))).alias("kinds")
+    # one row for each column of a sheet, which has 16,384 at most
+    head = own.groupBy("col").agg(F.min(F.when(top, F.col("value"))).alias("name"), F.max(top).alias("headed"), seen).where("headed").orderBy("col").limit(16384).collect()
     names: dict[int, str] = {}
     for i in range(max((r.col for r in head), default=-1) + 1):
         name = next((r.name for r in head if r.col == i and r.name), f"Column{i + 1}")
         names[i] = name if name not in names.values() else f"{name}_{i + 1}"
-    kinds: dict[int, set[str]] = {}
-    if mode == "infer":
-        for r in own.where("`row` > 0 and kind <> 'null'").select("col", "kind").distinct().collect():  # columns times kinds
-            kinds.setdefault(r.col, set()).add(r.kind)
-    body = own.where(F.col("row") > 0)
+    kinds = {r.col: set(r.kinds) for r in head}
+    body = own.where(below)
     value = F.struct("kind", "value", "number", "time") if mode != "string" else F.struct("value")
     wide = body.groupBy("path", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col"), value.alias("v")))).alias("m"))
 
