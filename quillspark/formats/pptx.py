@@ -108,6 +108,7 @@ class Writer:
         self.size = (width, height)
         self.slides: list[dict] = []
         self.properties: dict[str, str] = {}
+        self.accents: list[str] = ["4472C4", "ED7D31", "A5A5A5", "FFC000", "5B9BD5", "70AD47"]
 
     def slide(self, layout: str = "blank", **texts: str) -> int:
         """A new slide; texts fill the layout's places by role. Returns its index."""
@@ -155,6 +156,20 @@ class Writer:
         c = "http://schemas.openxmlformats.org/drawingml/2006/chart"
         self._put(k, f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="{n}" name="Chart {n}"/><p:cNvGraphicFramePr/><p:nvPr/></p:nvGraphicFramePr>{self._box(x, y, w, h, "p:xfrm")}<a:graphic><a:graphicData uri="{c}"><c:chart xmlns:c="{c}" r:id="rIdC{len(s["charts"])}"/></a:graphicData></a:graphic></p:graphicFrame>')
 
+    def video(self, k: int, data: bytes, poster: bytes, x: int = 457_200, y: int = 457_200, w: int = 3_657_600, h: int = 2_743_200, ext: str = "mp4") -> None:
+        """A film behind its poster picture."""
+        s = self.slides[k]
+        s["media"] += [(data, ext), (poster, "png")]
+        n, m = self._next(k), len(s["media"])
+        self._put(k, f'<p:pic><p:nvPicPr><p:cNvPr id="{n}" name="Video {n}"/><p:cNvPicPr/><p:nvPr><a:videoFile r:link="rIdM{m - 1}"/></p:nvPr></p:nvPicPr><p:blipFill><a:blip r:embed="rIdM{m}"/><a:stretch><a:fillRect/></a:stretch></p:blipFill><p:spPr>{self._box(x, y, w, h)}<a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr></p:pic>')
+
+    def ungroup(self, k: int, shape: int) -> None:
+        """A group's shapes in its place."""
+        s = self.slides[k]["shapes"]
+        m = re.fullmatch(r"<p:grpSp><p:nvGrpSpPr>.*?</p:nvGrpSpPr><p:grpSpPr/>(.*)</p:grpSp>", s[shape], re.DOTALL)
+        if m:
+            s[shape : shape + 1] = re.findall(r"<p:(?:sp|pic|graphicFrame|cxnSp)>.*?</p:(?:sp|pic|graphicFrame|cxnSp)>", m[1], re.DOTALL)
+
     def group(self, k: int, first: int, last: int) -> None:
         """Shapes first to last (inclusive) become one group."""
         s = self.slides[k]["shapes"]
@@ -201,7 +216,7 @@ class Writer:
         parts["ppt/slideMasters/_rels/slideMaster1.xml.rels"] = relationships([("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), ("rId2", "theme", "../theme/theme1.xml")])
         parts["ppt/slideLayouts/slideLayout1.xml"] = f'{HEAD}<p:sldLayout {ns}><p:cSld name="Blank"><p:spTree>{empty}</p:spTree></p:cSld></p:sldLayout>'
         parts["ppt/slideLayouts/_rels/slideLayout1.xml.rels"] = relationships([("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")])
-        scheme = "".join(f'<a:{t}><a:srgbClr val="{c}"/></a:{t}>' for t, c in (("dk1", "000000"), ("lt1", "FFFFFF"), ("dk2", "44546A"), ("lt2", "E7E6E6"), ("accent1", "4472C4"), ("accent2", "ED7D31"), ("accent3", "A5A5A5"), ("accent4", "FFC000"), ("accent5", "5B9BD5"), ("accent6", "70AD47"), ("hlink", "0563C1"), ("folHlink", "954F72")))
+        scheme = "".join(f'<a:{t}><a:srgbClr val="{c}"/></a:{t}>' for t, c in (("dk1", "000000"), ("lt1", "FFFFFF"), ("dk2", "44546A"), ("lt2", "E7E6E6"), *((f"accent{i}", c) for i, c in enumerate(self.accents, 1)), ("hlink", "0563C1"), ("folHlink", "954F72")))
         solid = '<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>'
         fonts = "".join(f'<a:{t}><a:latin typeface="Calibri"/><a:ea typeface=""/><a:cs typeface=""/></a:{t}>' for t in ("majorFont", "minorFont"))
         parts["ppt/theme/theme1.xml"] = f'{HEAD}<a:theme xmlns:a="{A}" name="Theme"><a:themeElements><a:clrScheme name="Office">{scheme}</a:clrScheme><a:fontScheme name="Office">{fonts}</a:fontScheme><a:fmtScheme name="Office"><a:fillStyleLst>{solid * 3}</a:fillStyleLst><a:lnStyleLst>{f"<a:ln>{solid}</a:ln>" * 3}</a:lnStyleLst><a:effectStyleLst>{"<a:effectStyle><a:effectLst/></a:effectStyle>" * 3}</a:effectStyleLst><a:bgFillStyleLst>{solid * 3}</a:bgFillStyleLst></a:fmtScheme></a:themeElements></a:theme>'
@@ -273,3 +288,37 @@ def fill_image(data: bytes, slide: int, placeholder: str, image: bytes) -> bytes
     return _fill_image(data, placeholder, image, part=Deck(data).slides[slide])
 
 
+
+
+def _targets(data: bytes, slide: int, kind: str) -> list[str]:
+    d = Deck(data)
+    return [r["target"] for r in d.pkg.relations(d.slides[slide]).values() if r["type"] == kind]
+
+
+def replace_image(data: bytes, slide: int, number: int, image: bytes) -> bytes:
+    """The slide's picture with that number (from 0) replaced."""
+    parts = _parts(data)
+    parts[_targets(data, slide, "image")[number]] = image
+    return package(parts)
+
+
+def update_chart(data: bytes, slide: int, number: int, categories: list[str], series: dict[str, list[float]]) -> bytes:
+    """The slide's chart with that number (from 0) drawn anew from other data."""
+    parts = _parts(data)
+    target = _targets(data, slide, "chart")[number]
+    old = Deck(data).charts(slide)[number]
+    parts[target] = chart_xml({"chart_type": old["chart_type"], "categories": categories, "series": [{"name": n, "values": v} for n, v in series.items()]}).encode()
+    return package(parts)
+
+
+def duplicate_shape(data: bytes, slide: int, number: int, dx: int = 190_500, dy: int = 190_500) -> bytes:
+    """The slide's shape with that number (from 0) once more, in front of it and moved."""
+    parts, name = _parts(data), Deck(data).slides[slide]
+    xml = parts[name].decode("utf-8")
+    found = list(re.finditer(r"<p:(sp|pic|graphicFrame|cxnSp)>.*?</p:\1>", xml, re.DOTALL))
+    one = found[number]
+    moved = re.sub(r'<a:off x="(-?[0-9]+)" y="(-?[0-9]+)"/>', lambda m: f'<a:off x="{int(m[1]) + dx}" y="{int(m[2]) + dy}"/>', one[0], count=1)
+    ids = max(int(i) for i in re.findall(r'<p:cNvPr id="([0-9]+)"', xml)) + 1
+    moved = re.sub(r'(<p:cNvPr id=")[0-9]+"', rf'\g<1>{ids}"', moved, count=1)
+    parts[name] = (xml[: one.end()] + moved + xml[one.end() :]).encode()
+    return package(parts)

@@ -250,9 +250,24 @@ class Workbook:
             "border": {local(e): e.get("style") for e in (border if border is not None else ()) if e.get("style")}, "horizontal": align.get("horizontal") if align is not None else None, "wrap": align is not None and align.get("wrapText") == "1",
         }
 
+    def pivots(self, name: str) -> list[dict]:
+        """Declared pivot tables: source, fields by axis, data fields, and each cached field's items."""
+        out = []
+        for part in self._related(name, "pivotTable"):
+            t = self.pkg.xml(part)
+            cache = next((r["target"] for r in self.pkg.relations(part).values() if r["type"] == "pivotCacheDefinition"), None)
+            c = self.pkg.xml(cache) if cache else None
+            source = every(c, "worksheetSource")
+            fields = [f.get("name") for f in every(c, "cacheField")]
+            axis = lambda tag, item, key, t=t, fields=fields: [fields[int(e.get(key))] for e in every(find(t, tag), item) if int(e.get(key, -1)) >= 0]
+            data = [{"field": fields[int(d.get("fld"))], "function": d.get("subtotal", "sum"), "caption": d.get("name")} for d in every(t, "dataField")]
+            items = {f.get("name"): [s.get("v") for s in every(f, "s")] for f in every(c, "cacheField")}
+            out.append({"source": f"{source[0].get('sheet')}!{source[0].get('ref')}" if source else None, "rows": axis("rowFields", "field", "x"), "columns": axis("colFields", "field", "x"), "filters": axis("pageFields", "pageField", "fld"), "data": data, "items": items})
+        return out
+
     def other_parts(self) -> list[str]:
         """Parts of the package that this model doesn't read."""
-        known = re.compile(r"(\[content_types\]\.xml|.*\.rels|docprops/.*|xl/(workbook|styles|sharedstrings)\.xml|xl/(worksheets|comments|tables|drawings|charts|media)/?.*)$", re.IGNORECASE)
+        known = re.compile(r"(\[content_types\]\.xml|.*\.rels|docprops/.*|xl/(workbook|styles|sharedstrings)\.xml|xl/(worksheets|comments|tables|drawings|charts|media|pivotCache|pivotTables)/?.*)$", re.IGNORECASE)
         return [n for n in self.pkg.names if not known.match(n)]
 
 
@@ -314,6 +329,44 @@ class Writer:
         self.custom: list[dict] = []
         self.hidden: set[str] = set()
         self.workbook_password: str | None = None
+        self.pivots: list[dict] = []
+
+    def pivot(self, sheet: str, source: str, header: list[str], rows: list[list], row_fields: list[str], data_fields: list[tuple[str, str]], column_fields: list[str] = (), filter_fields: list[str] = (), anchor: str = "A3") -> None:
+        """A pivot table of a source sheet's rows; the reader of the workbook computes it when it is opened. Field
+        names match in any case; data fields are (field, Sum, Count, Average, Max or Min)."""
+        at = {h.lower(): i for i, h in enumerate(header)}
+        index = lambda names: [at[n.lower()] for n in names]
+        self._sheet(sheet)
+        self.pivots.append({"sheet": sheet, "source": source, "header": header, "rows": rows, "row": index(row_fields), "column": index(column_fields), "page": index(filter_fields), "data": [(at[f.lower()], fn) for f, fn in data_fields], "anchor": anchor})
+
+    def _pivot_parts(self, parts: dict, types: dict) -> None:
+        base = "application/vnd.openxmlformats-officedocument.spreadsheetml."
+        for n, p in enumerate(self.pivots, 1):
+            used = {*p["row"], *p["column"], *p["page"]}
+            # distinct values other than null, as text in binary order; long lists are left to the reader
+            items = {i: sorted({K.text_of(r[i]) for r in p["rows"] if i < len(r) and r[i] is not None}) for i in range(len(p["header"]))}
+            fields = "".join(f"<cacheField name={qattr(h)}>" + (f'<sharedItems count="{len(items[i])}">' + "".join(f"<s v={qattr(v)}/>" for v in items[i]) + "</sharedItems>" if i in used and len(items[i]) <= 1000 else "<sharedItems/>") + "</cacheField>" for i, h in enumerate(p["header"]))
+            end = f"{K.column_name(len(p['header']) - 1)}{len(p['rows']) + 1}"
+            parts[f"xl/pivotCache/pivotCacheDefinition{n}.xml"] = f'{HEAD}<pivotCacheDefinition xmlns="{MAIN}" refreshOnLoad="1" saveData="0"><cacheSource type="worksheet"><worksheetSource ref="A1:{end}" sheet={qattr(p["source"])}/></cacheSource><cacheFields count="{len(p["header"])}">{fields}</cacheFields></pivotCacheDefinition>'
+            types[f"xl/pivotCache/pivotCacheDefinition{n}.xml"] = base + "pivotCacheDefinition+xml"
+            axis = {**{i: "axisRow" for i in p["row"]}, **{i: "axisCol" for i in p["column"]}, **{i: "axisPage" for i in p["page"]}}
+            body = ""
+            for i in range(len(p["header"])):
+                own = f' axis="{axis[i]}"' if i in axis else ""
+                data = ' dataField="1"' if any(i == d for d, _ in p["data"]) else ""
+                listed = f'<items count="{len(items[i]) + 1}">' + "".join(f'<item x="{k}"/>' for k in range(len(items[i]))) + '<item t="default"/></items>' if i in axis and len(items[i]) <= 1000 else ""
+                body += f'<pivotField{own}{data} showAll="0">{listed}</pivotField>'
+            group = lambda tag, item, xs: f'<{tag} count="{len(xs)}">' + "".join(item(x) for x in xs) + f"</{tag}>" if xs else ""
+            functions = {"Sum": "sum", "Count": "count", "Average": "average", "Max": "max", "Min": "min"}
+            row, col = K.cell_ref(p["anchor"])
+            ref = f"{p['anchor']}:{K.column_name(col + max(1, len(p['data'])))}{row + 3}"
+            parts[f"xl/pivotTables/pivotTable{n}.xml"] = (
+                f'{HEAD}<pivotTableDefinition xmlns="{MAIN}" name="PivotTable{n}" cacheId="{n}" dataCaption="Values" rowGrandTotals="1" colGrandTotals="1"><location ref="{ref}" firstHeaderRow="1" firstDataRow="2" firstDataCol="1"/>'
+                f'<pivotFields count="{len(p["header"])}">{body}</pivotFields>{group("rowFields", lambda i: f"<field x=\"{i}\"/>", p["row"])}{group("colFields", lambda i: f"<field x=\"{i}\"/>", p["column"])}{group("pageFields", lambda i: f"<pageField fld=\"{i}\" hier=\"-1\"/>", p["page"])}'
+                + group("dataFields", lambda d: f'<dataField name={qattr(f"{d[1]} of {p["header"][d[0]]}")} fld="{d[0]}" subtotal="{functions[d[1]]}"/>', p["data"]) + "</pivotTableDefinition>"
+            )
+            types[f"xl/pivotTables/pivotTable{n}.xml"] = base + "pivotTable+xml"
+            parts[f"xl/pivotTables/_rels/pivotTable{n}.xml.rels"] = relationships([("rId1", "pivotCacheDefinition", f"../pivotCache/pivotCacheDefinition{n}.xml")])
 
     def _sheet(self, name: str | None) -> list[str]:
         name = name or next(iter(self.data), "Sheet1")
@@ -469,6 +522,7 @@ class Writer:
                 f'<x14:sparklineGroup type="{g.get("type", "line")}"><x14:sparklines>' + "".join(f"<x14:sparkline><xm:f>{esc(s['formula'])}</xm:f><xm:sqref>{esc(s['ref'])}</xm:sqref></x14:sparkline>" for s in g["items"]) + "</x14:sparklines></x14:sparklineGroup>" for g in m["sparklines"]
             )
             sparks = f'<extLst><ext xmlns:x14="{x14}" uri="{{05C60535-1F16-4fd2-B633-F4F36F0B64E0}}"><x14:sparklineGroups xmlns:xm="http://schemas.microsoft.com/office/excel/2006/main">{groups}</x14:sparklineGroups></ext></extLst>'
+        rels += [(f"rIdP{n}", "pivotTable", f"../pivotTables/pivotTable{n}.xml") for n, p in enumerate(self.pivots, 1) if p["sheet"] == name]
         if rels:
             parts[f"xl/worksheets/_rels/sheet{k}.xml.rels"] = relationships(rels)
         return f'{HEAD}<worksheet xmlns="{MAIN}" xmlns:r="{OFFICE_NS}/relationships">{tab}{view}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{rows}</sheetData>{lock}{auto}{merged}{formats}{checks}{links}{page}{drawing}{comments}{table_parts}{sparks}</worksheet>'
@@ -513,10 +567,14 @@ class Writer:
             for key, name in (("print_area", "_xlnm.Print_Area"), ("print_titles", "_xlnm.Print_Titles")):
                 if self.meta[n].get(key):
                     names += f'<definedName name="{name}" localSheetId="{k}">{esc(quoted + self.meta[n][key])}</definedName>'
+        self._pivot_parts(parts, types)
+        caches = "".join(f'<pivotCache cacheId="{k}" r:id="rIdC{k}"/>' for k in range(1, len(self.pivots) + 1))
+        caches = f"<pivotCaches>{caches}</pivotCaches>" if caches else ""
         lock = f'<workbookProtection lockStructure="1"{f" workbookPassword=\"{password_hash(self.workbook_password):04X}\"" if self.workbook_password else ""}/>' if self.workbook_password is not None else ""
-        parts["xl/workbook.xml"] = f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE_NS}/relationships">{lock}<sheets>{listed}</sheets>{f"<definedNames>{names}</definedNames>" if names else ""}</workbook>'
+        parts["xl/workbook.xml"] = f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE_NS}/relationships">{lock}<sheets>{listed}</sheets>{f"<definedNames>{names}</definedNames>" if names else ""}{caches}</workbook>'
         n = len(self.data)
         rels = [(f"rId{k}", "worksheet", f"worksheets/sheet{k}.xml") for k in range(1, n + 1)] + [(f"rId{n + 1}", "styles", "styles.xml"), (f"rId{n + 2}", "sharedStrings", "sharedStrings.xml")]
+        rels += [(f"rIdC{k}", "pivotCacheDefinition", f"pivotCache/pivotCacheDefinition{k}.xml") for k in range(1, len(self.pivots) + 1)]
         parts["xl/_rels/workbook.xml.rels"] = relationships(rels)
         parts["xl/styles.xml"] = self._styles()
         parts["xl/sharedStrings.xml"] = f'{HEAD}<sst xmlns="{MAIN}" uniqueCount="{len(self.strings)}">' + "".join(f'<si><t xml:space="preserve">{esc(s)}</t></si>' for s in self.strings) + "</sst>"

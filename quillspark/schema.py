@@ -19,6 +19,7 @@ VALIDATION = "sheet string, ref string, type string, operator string, formula1 s
 FORMAT = "sheet string, ref string, type string, operator string, formulas array<string>, colors array<string>, priority int"
 TABLE = "sheet string, name string, ref string, columns array<string>, style string"
 CHART = "place string, chart_number int, chart_type string, categories array<string>, series array<struct<name: string, `values`: array<double>>>"
+PIVOT = "sheet string, source string, rows array<string>, columns array<string>, filters array<string>, data array<struct<field: string, function: string, caption: string>>, items map<string, array<string>>"
 NAME = "name string, formula string"
 STYLE = "sheet string, `row` int, col int, number_format string, font_name string, font_size double, bold boolean, italic boolean, font_color string, fill string, horizontal string"
 SHEET_INFO = "sheet string, state string, freeze_rows int, freeze_cols int, auto_filter string, tab_color string, protected boolean, page_setup map<string, string>"

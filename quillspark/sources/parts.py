@@ -195,6 +195,7 @@ PARTS: dict[str, Part] = {
     "xlsx.tables": Part(S.TABLE, _by_sheet(xlsx.Workbook.tables)),
     "xlsx.charts": Part(S.CHART, _xlsx_charts),
     "xlsx.images": Part(S.IMAGE, _xlsx_images),
+    "xlsx.pivots": Part(S.PIVOT, _by_sheet(xlsx.Workbook.pivots)),
     "xlsx.names": Part(S.NAME, lambda d: ({"name": k, "formula": v} for k, v in xlsx.Workbook(d).names().items())),
     "xlsx.other": Part(S.PART, lambda d: ({"part": p} for p in xlsx.Workbook(d).other_parts())),
     "xls.cells": Part(S.CELL, _grid_cells(xls.sheets)),

@@ -72,6 +72,34 @@ def test_xlsx_parts():
     assert (style["bold"], style["number_format"], style["fill"], style["horizontal"]) == (True, "0.000", "FFFF00", "center")
 
 
+def test_pivot_parts():
+    w = xlsx.Writer()
+    rows = [["East", "A", 100], ["West", "B", 200], ["East", None, 5]]
+    w.rows([["Region", "Product", "Sales"], *rows], "Data")
+    w.pivot("Pivot", "Data", ["Region", "Product", "Sales"], rows, ["product"], [("SALES", "Sum"), ("Sales", "Count")], filter_fields=["Region"])
+    p = xlsx.Workbook(w.save()).pivots("Pivot")
+    assert p == [{"source": "Data!A1:C4", "rows": ["Product"], "columns": [], "filters": ["Region"], "data": [{"field": "Sales", "function": "sum", "caption": "Sum of Sales"}, {"field": "Sales", "function": "count", "caption": "Count of Sales"}], "items": {"Region": ["East", "West"], "Product": ["A", "B"], "Sales": []}}]
+
+
+def test_slide_edits():
+    w = pptx.Writer()
+    k = w.slide()
+    w.accents[0] = "123456"
+    w.text(k, "one")
+    w.chart(k, "bar", ["a"], {"s": [1]})
+    w.image(k, b"old")
+    w.group(k, 0, 0)
+    w.ungroup(k, 0)
+    w.reorder(k, 0, "front")
+    w.video(k, b"film", b"poster")
+    data = w.save()
+    assert [s["shape_type"] for s in pptx.Deck(data).shapes(0)] == ["chart", "picture", "shape", "picture"] and b"123456" in pptx.Deck(data).pkg.read("ppt/theme/theme1.xml")
+    assert pptx.Deck(pptx.update_chart(data, 0, 0, ["x", "y"], {"t": [3, 4]})).charts(0)[0]["series"] == [{"name": "t", "values": [3.0, 4.0]}]
+    assert (b"new" in [d for _, d in pptx.Deck(pptx.replace_image(data, 0, 0, b"new")).images()])
+    twice = pptx.Deck(pptx.duplicate_shape(data, 0, 2)).shapes(0)
+    assert [s["text"] for s in twice].count("one") == 2 and twice[3]["left"] == twice[2]["left"] + 190_500 and len({s["id"] for s in twice}) == 5
+
+
 def test_text_and_markdown_of_sheets():
     want = '姓名,Age,City\nAlice,30,"Beijing, ""x"""\nBob|b,25.5,\n'
     table = '| 姓名 | Age | City |\n| --- | --- | --- |\n| Alice | 30 | Beijing, "x" |\n| Bob\\|b | 25.5 |  |\n'
