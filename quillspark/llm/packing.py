@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +22,48 @@ STEP = 4  # lengths are rounded up to this for the histogram, so a combination w
 END_ID = 2
 
 
+class _Kept(dict):
+    """Values by key, in two generations of bounded size: what is asked for again outlives the change of generation."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+# Characters whose normalisation, case and class don't depend on their neighbours or on a Unicode version.
+_SIMPLE = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 for itself, then from 256 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit numbers. The tokenizer drops white space and never joins
-    across it, so a text is its chunks between blanks, and the ids of a chunk seen before are kept."""
+    across it, so a text is its chunks between blanks, and the ids of chunks seen before are kept.
+
+    Where the tokenizer's own description says that it lower-cases, splits by a pattern and then merges bytes, a
+    simple chunk is split here and each of its pieces is merged by the tokenizer's model once. All others go
+    through the tokenizer.
+    """
 
-    MOST = 300_000
+    MOST = 180_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,21 +72,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if max(self.tokenizer.get_vocab_size(), END_ID + 1) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.known: dict[str, bytes] = {"": b""}
+        d = json.loads(self.tokenizer.to_str())
+        self.split = self._pattern(d)
+        self.firsts = {c for t in d["added_tokens"] for c in (t["content"][:1].lower(), t["content"][:1].upper())}
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in d["added_tokens"]) or "(?!)", re.IGNORECASE)
+        self.letters = _byte_letters()
+        self.pieces = _Kept(self._merged, 2 * self.MOST)
+        self.chunks = _Kept(self._chunk, self.MOST)
+
+    @staticmethod
+    def _pattern(d: dict):
+        """The split pattern, if the description is of the kind that is split here."""
+        steps = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", ())]
+        parts = (d.get("pre_tokenizer") or {}).get("pretokenizers", ())
+        if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"] or d["model"].get("dropout"):
+            return None
+        split, level = parts
+        if split.get("behavior") != "Removed" or not split.get("invert") or level.get("add_prefix_space") or level.get("use_regex") or "Regex" not in split["pattern"]:
+            return None
+        return regex.compile(split["pattern"]["Regex"])
+
+    def _merged(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return _packed([t.id for t in self.tokenizer.model.tokenize(text)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.split is not None and _SIMPLE.fullmatch(chunk) and (self.firsts.isdisjoint(chunk) or not self.special.search(chunk)):
+            return b"".join(map(self.pieces.__getitem__, self.split.findall(chunk.lower())))
+        return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, end = [], np.uint16(END_ID).tobytes()
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            new = list({c for c in chunks if c not in self.known})
-            if len(self.known) + len(new) > self.MOST:
-                self.known = {"": b""}
-                new = list(set(chunks) - {""})
-            for i in range(0, len(new), 4096):
-                for c, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
-                    self.known[c] = np.array(e.ids, dtype="<u2").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, chunks)) + end)
-        return out
+        end = np.uint16(END_ID).tobytes()
+        return [b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) + end for text in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

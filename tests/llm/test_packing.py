@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -11,10 +12,15 @@ from .helpers import DOCS, odd_documents
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 
 
-def plain(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(PATH)
+
+
+def plain(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @pytest.mark.parametrize("window", [4096, 256])
@@ -49,6 +55,19 @@ def test_round_trip(spark, window):
     assert padding <= 0.01 * total
 
 
+def test_encoder_is_the_tokenizer(monkeypatch):
+    import random
+
+    monkeypatch.setattr(P.Encoder, "MOST", 40)
+    rng = random.Random(9)
+    letters = "abcXYZ0189.,;:!?'$%&*<>|@#-_/ \n\t\r\x0b\x1c\x85\u00a0éÉßÄñçœŒŁİıſǅΣςσΑ漢字😀\u0301\u200bµªº²½\u00ad"
+    texts = ["it's I'LL we've 'S <|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b", "", " ", "\n\n"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    encoder = P.Encoder(PATH)
+    assert encoder.split is not None
+    for t, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == plain(t), repr(t)
+
+
 def test_repeats_serve_the_histogram():
     rng = np.random.default_rng(0)
     h = np.bincount(rng.integers(1, 64, 5000), minlength=65)
