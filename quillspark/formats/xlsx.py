@@ -167,6 +167,15 @@ class Workbook:
     def names(self) -> dict[str, str]:
         return {n.get("name", ""): inner(n) for n in every(find(self.root, "definedNames"), "definedName") if not n.get("name", "").startswith("_xlnm.")}
 
+    def range_values(self, ref: str) -> list[list]:
+        """Values of a range such as Sheet!$A$1:$B$2, or of a defined name (in any case)."""
+        ref = {k.lower(): v for k, v in self.names().items()}.get(ref.lower(), ref)
+        sheet, _, area = ref.rpartition("!")
+        area = area.replace("$", "")
+        r1, c1, r2, c2 = K.range_ref(area) or K.cell_ref(area) * 2
+        found = {(c["row"], c["col"]): c["value"] for c in self.cells(sheet.strip("'").replace("''", "'") or None) if r1 <= c["row"] <= r2 and c1 <= c["col"] <= c2}
+        return [[found.get((r, c)) for c in range(c1, c2 + 1)] for r in range(r1, r2 + 1)]
+
     def comments(self, name: str) -> list[dict]:
         out = []
         for part in self._related(name, "comments"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mapped(df: DataFrame, fields: dict[str, tuple[str | None, str]]) -> DataFrame:
@@ -19,6 +20,22 @@ def mapped(df: DataFrame, fields: dict[str, tuple[str | None, str]]) -> DataFram
     return df.select(*out)
 
 
+def flattened(df: DataFrame, depth: int = 1) -> DataFrame:
+    """Nested records as columns named Parent.Leaf, down to depth levels; at depth 0 nested records are left out."""
+    out: list[Column] = []
+
+    def walk(kind: T.StructType, path: list[str], names: list[str], level: int) -> None:
+        for f in kind.fields:
+            if isinstance(f.dataType, T.StructType):
+                if level < depth:
+                    walk(f.dataType, [*path, f.name], [*names, f.name], level + 1)
+            else:
+                out.append(F.col(".".join(f"`{p}`" for p in [*path, f.name])).alias(".".join([*names, f.name])))
+
+    walk(df.schema, [], [], 0)
+    return df.select(*out)
+
+
 def links(cells: DataFrame, relations: DataFrame) -> DataFrame:
     """Links (r_id, location) with their targets: url of the relation, else # and the location."""
     return cells.join(relations.select(F.col("id").alias("r_id"), "url"), "r_id", "left").withColumn("url", F.coalesce("url", F.concat(F.lit("#"), F.col("location"))))

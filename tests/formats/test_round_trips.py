@@ -81,6 +81,20 @@ def test_pivot_parts():
     assert p == [{"source": "Data!A1:C4", "rows": ["Product"], "columns": [], "filters": ["Region"], "data": [{"field": "Sales", "function": "sum", "caption": "Sum of Sales"}, {"field": "Sales", "function": "count", "caption": "Count of Sales"}], "items": {"Region": ["East", "West"], "Product": ["A", "B"], "Sales": []}}]
 
 
+def test_ranges_and_theme():
+    from quillspark.formats import theme
+
+    w = xlsx.Writer()
+    w.rows([["a", 1], ["b", 2]], "It's")
+    w.defined["Both"] = "'It''s'!$A$1:$B$2"
+    b = xlsx.Workbook(w.save())
+    assert b.range_values("both") == [["a", 1], ["b", 2]] and b.range_values("'It''s'!B2") == [[2]]
+    p = pptx.Writer()
+    p.slide()
+    colors = theme.palette(p.save(), lambda n: "111111" if n == "accent2" else None)
+    assert colors["accent1"] == "4472C4" and colors["accent2"] == "111111" and theme.sheet_color(colors, 0, -0.5) == "808080" and theme.sheet_color(colors, 99) is None
+
+
 def test_slide_edits():
     w = pptx.Writer()
     k = w.slide()

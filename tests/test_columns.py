@@ -68,6 +68,12 @@ def test_pagination(spark):
     assert [(r.page, r.y) for r in got] == [(1, 30), (1, 60), (2, 50), (2, 60), (3, 200), (4, 5)]
 
 
+def test_flattened(spark):
+    df = spark.sql("SELECT 1 AS id, named_struct('City', 'C', 'Geo', named_struct('X', 2)) AS Address")
+    assert lookups.flattened(df, 0).columns == ["id"] and lookups.flattened(df).columns == ["id", "Address.City"]
+    assert lookups.flattened(df, 2).columns == ["id", "Address.City", "Address.Geo.X"]
+
+
 def test_spine_and_dictionary(spark):
     items = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (2, 0, "a")], "book int, pos int, idref string")
     manifest = spark.createDataFrame([(1, "a", "a.html"), (2, "a", "b.html")], "book int, id string, href string")
