@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +21,8 @@ STEP = 4  # lengths are rounded up to this for the histogram, so a combination w
 END_ID = 2
 
 
-class _Kept(dict):
-    """Values by key, in two generations of bounded size: what is asked for again outlives the change of generation."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 # Characters whose normalisation, case and class don't depend on their neighbours or on a Unicode version.
-_SIMPLE = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
+_SIMPLE = "!-~\u00a1-\u012f\u0131-\u017f"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,39 +32,44 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
+def _of_category(first: str) -> str:
+    """The simple characters of a general category, for a character class."""
+    found = [c for c in map(chr, range(33, 0x180)) if re.match(f"[{_SIMPLE}]", c) and unicodedata.category(c).startswith(first)]
+    return "".join(map(re.escape, found))
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit numbers. The tokenizer drops white space and never joins
-    across it, so a text is its chunks between blanks, and the ids of chunks seen before are kept.
+    across it, so the ids of a text are those of its parts between blanks.
 
-    Where the tokenizer's own description says that it lower-cases, splits by a pattern and then merges bytes, a
-    simple chunk is split here and each of its pieces is merged by the tokenizer's model once. All others go
-    through the tokenizer.
+    Where the tokenizer's own description says that it lower-cases, splits by a pattern and then merges bytes, simple
+    texts are split here; the pieces of a batch that aren't known yet go to the tokenizer's model together. All
+    else goes through the tokenizer, part by part. When too many pieces are known, those of the batch stay.
     """
 
-    MOST = 180_000
+    MOST = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if max(self.tokenizer.get_vocab_size(), END_ID + 1) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         d = json.loads(self.tokenizer.to_str())
         self.split = self._pattern(d)
+        self.simple = re.compile(f"[{_SIMPLE}]*")
+        self.simple_text = re.compile(f"[{_SIMPLE} \n]*")
         self.firsts = {c for t in d["added_tokens"] for c in (t["content"][:1].lower(), t["content"][:1].upper())}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in d["added_tokens"]) or "(?!)", re.IGNORECASE)
         self.letters = _byte_letters()
-        self.pieces = _Kept(self._merged, 2 * self.MOST)
-        self.chunks = _Kept(self._chunk, self.MOST)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def _pattern(d: dict):
-        """The split pattern, if the description is of the kind that is split here."""
+    def _pattern(d: dict) -> re.Pattern | None:
+        """The split pattern over simple characters, if the description is of the kind that is split here."""
         steps = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", ())]
         parts = (d.get("pre_tokenizer") or {}).get("pretokenizers", ())
         if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"] or d["model"].get("dropout"):
@@ -90,20 +77,41 @@ class Encoder:
         split, level = parts
         if split.get("behavior") != "Removed" or not split.get("invert") or level.get("add_prefix_space") or level.get("use_regex") or "Regex" not in split["pattern"]:
             return None
-        return regex.compile(split["pattern"]["Regex"])
-
-    def _merged(self, piece: str) -> bytes:
-        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return _packed([t.id for t in self.tokenizer.model.tokenize(text)])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.split is not None and _SIMPLE.fullmatch(chunk) and (self.firsts.isdisjoint(chunk) or not self.special.search(chunk)):
-            return b"".join(map(self.pieces.__getitem__, self.split.findall(chunk.lower())))
-        return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        pattern = split["pattern"]["Regex"].replace(r"\p{L}", _of_category("L")).replace(r"\p{N}", _of_category("N"))
+        return None if r"\p" in pattern else re.compile(pattern)
+
+    def _is_simple(self, text: str, pattern: re.Pattern) -> bool:
+        return self.split is not None and bool(pattern.fullmatch(text)) and (self.firsts.isdisjoint(text) or not self.special.search(text))
+
+    def _pieces(self, text: str) -> list[str]:
+        """A text's pieces; a part that goes through the tokenizer stands as itself behind a blank."""
+        if self._is_simple(text, self.simple_text):
+            return self.split.findall(text.lower())
+        out: list[str] = []
+        for part in text.replace("\n", " ").split(" "):
+            if part:
+                out += self.split.findall(part.lower()) if self._is_simple(part, self.simple) else [" " + part]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.known))
+        if len(self.known) + len(new) > self.MOST:
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        for part in (p for p in new if p[0] == " "):
+            self.known[part] = np.array(self.tokenizer.encode(part[1:], add_special_tokens=False).ids, dtype="<u2").tobytes()
+        merged = [p for p in new if p[0] != " "]
+        for i in range(0, len(merged), 16384):
+            block = merged[i : i + 16384]
+            got = self.model.encode(" ".join(p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in block), add_special_tokens=False)
+            data = np.array(got.ids, dtype="<u2").tobytes()
+            ends = (2 * np.searchsorted(np.array(got.word_ids), np.arange(len(block) + 1))).tolist()
+            self.known.update(zip(block, (data[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         end = np.uint16(END_ID).tobytes()
-        return [b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) + end for text in texts]
+        found = [self._pieces(t) for t in texts]
+        self._learn(set().union(*found))
+        return [b"".join(map(self.known.__getitem__, pieces)) + end for pieces in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
