@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, text_bytes
@@ -18,6 +19,7 @@ FILTERS = 12
 EMBED = 8
 PER_LANG = 600  # labelled rows of each language that the fit may take
 SPREAD = 4
+SLOTS = 1 << 30
 LANGS = 200  # languages that the fit may take, the most frequent first
 UNKNOWN = "und"
 _ASCII = re.compile(rb"[A-Za-z]")
@@ -163,15 +165,16 @@ def train(documents: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) ->
     rows = documents.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold("doc_id", 5, 0) & F.col("text").rlike(r"\p{L}")
     )
-    seen = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
-    got = []
-    for lang in seen:  # a top-k for each language: every task keeps per_lang rows at most
-        h = F.xxhash64("doc_id")
-        own = rows.where(F.col("lang") == lang).select(h.alias("h"), F.col("text").cast("binary").alias("b"))
-        last = F.expr(f"(octet_length(b) - 1) div {WINDOW}")
-        spread = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.substring("b", (F.floor(i * last / (SPREAD - 1)) * WINDOW + 1).cast("int"), F.lit(WINDOW)))
-        top = own.select("h", F.array_distinct(spread).alias("t")).orderBy("h").limit(per_lang)
-        got += [(r.h, bytes(t), lang) for r in top.collect() for t in r.t]
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    # about four times the rows wanted pass by their hash; of these the least hashes are taken
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    cuts = documents.sparkSession.createDataFrame([(r.lang, math.ceil(SLOTS * min(1.0, 4 * per_lang / r.n))) for r in seen], "lang string, cut bigint")
+    last = F.expr(f"(octet_length(b) - 1) div {WINDOW}")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.substring("b", (F.floor(i * last / (SPREAD - 1)) * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+    few = rows.withColumn("h", h).join(F.broadcast(cuts), "lang").where("h < cut").withColumn("b", F.col("text").cast("binary"))
+    few = few.select("lang", "h", "doc_id", F.array_distinct(spread).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))
+    got = [(r.h, bytes(t), r.lang) for r in few.withColumn("k", rank).where(F.col("k") <= per_lang).collect() for t in r.t]
     got.sort()
     return fit([r[1] for r in got], [r[2] for r in got])
 
