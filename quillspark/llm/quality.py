@@ -63,14 +63,13 @@ def _expand(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, x * x])
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 10) -> dict:
+def fit(x: np.ndarray, labels: np.ndarray, seed: int = 10) -> dict:
     """Bradley-Terry: P(a above b) = sigmoid(w.(f(a) - f(b))) over preference pairs, by gradient descent.
 
     The threshold is the quantile of the scores below which the share of label 0 lies; a score there maps to 0.7.
     Without rows of both labels all scores are 0.7.
     """
-    x = np.array([features(t) for t in texts], dtype=float).reshape(-1, N_FEATURES)
-    y = np.asarray(labels)
+    x, y = np.asarray(x, dtype=float).reshape(-1, N_FEATURES), np.asarray(labels)
     if not len(y) or y.min() == y.max():
         return {"mean": np.zeros(N_FEATURES), "std": np.ones(N_FEATURES), "w": np.zeros(2 * N_FEATURES), "cut": 0.0, "scale": 1.0}
     mean, std = x.mean(0), x.std(0) + 1e-6
@@ -104,9 +103,16 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", labelled
     """
     kept = labels.select(key, "quality").where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~fold(key, 4, 2))
     kept = kept.orderBy(F.xxhash64(key), "quality").limit(labelled)
-    rows = documents.select(key, F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(kept), key).select(text_bytes().alias("t"), "quality", F.xxhash64(key).alias("h"))
-    got = sorted(((r.h, bytes(r.t), r.quality) for r in rows.limit(2 * labelled).collect()), key=lambda r: r[::2])
-    return fit([r[1] for r in got], np.array([r[2] for r in got]))
+    rows = documents.select(key, F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(kept), key).select(F.xxhash64(key).alias("h"), "quality", text_bytes().alias("t"))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [features(t) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("quality").cast(pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=["h", "quality", "x"])
+
+    # features, not texts, come to the driver
+    got = sorted((r.h, list(r.x), r.quality) for r in rows.mapInArrow(measured, "h bigint, quality int, x array<double>").limit(2 * labelled).collect())
+    return fit(np.array([r[1] for r in got]), np.array([r[2] for r in got]))
 
 
 def quality_scores(documents: DataFrame, model: dict, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
