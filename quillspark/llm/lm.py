@@ -15,9 +15,14 @@ from .common import fold, stored, text_bytes, words
 
 END = b"\n"  # no word can hold white space
 UNK, END_ID, START = 0, 1, 2  # of the model's vocabulary
-MODEL_WORDS = 2048
+LEAST_COUNT = 20  # of a word of the model
+FEWEST_WORDS = 2045  # of the model: a small corpus has its most frequent words, however rare
 DIMS = 16
 NOISE = 32
+OWN_NOISE = 4  # noise words from the target's class
+BLOCK = 1024  # rows of parameters that are averaged together
+CHUNK = 2048  # tokens scored by one matrix product
+SCORED = 1 << 17  # tokens whose classes are scored together
 BATCH = 8192
 BUFFER = 1 << 20
 LEAST_STEPS = 60  # of a buffer; a small corpus is gone over several times
@@ -65,97 +70,201 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class Model:
-    """P(w | a, b) ~ exp((R[a] C1 + R[b] C2) . Q[w] + bias[w]), for the two tokens before w."""
+    """P(w | a, b) for the two tokens before w, by word classes: P(class of w | a, b) P(w | class of w, a, b).
+
+    Both factors are softmaxes of (R[a] C1 + R[b] C2) . Q[k] + bias[k], the first over all classes, the second over
+    the words of one class. Ids below single are classes by themselves; from there on each run of ids is a class.
+    Rows of Q and bias: the classes (top of them), then the words from single on. Without a run every word is a class.
+    """
 
     NAMES = ("R", "Q", "C1", "C2", "bias")
 
-    def __init__(self, size: int, unigram: np.ndarray, seed: int = 1):
+    def __init__(self, size: int, unigram: np.ndarray, seed: int = 1, single: int | None = None, run: int = 1):
         rng = np.random.default_rng(seed)
-        self.R, self.Q = (rng.normal(0, 0.1, (size, DIMS)).astype(np.float32) for _ in range(2))
+        self.size, self.single, self.run = size, size if single is None else min(single, size), run
+        self.runs = -(-(size - self.single) // run)
+        self.top = self.single + self.runs
+        tail = unigram[self.single :]
+        mass = np.add.reduceat(tail, np.arange(0, len(tail), run)) if len(tail) else tail
+        self.R, self.Q = (rng.normal(0, 0.1, (n, DIMS)).astype(np.float32) for n in (size, size + self.runs))
         self.C1, self.C2 = (np.eye(DIMS, dtype=np.float32) * s for s in (0.5, 1.0))
-        self.noise = unigram
-        self.bias = np.log(unigram).astype(np.float32)
+        self.noise = np.concatenate([unigram[: self.single], mass])
+        self.bias = np.log(np.concatenate([self.noise, tail / np.repeat(mass, run)[: len(tail)]])).astype(np.float32)
+
+    def get(self) -> dict[str, np.ndarray]:
+        return {n: getattr(self, n) for n in self.NAMES}
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
+    def put(self, parameters: dict[str, np.ndarray]) -> None:
+        for n, x in parameters.items():
+            setattr(self, n, x.copy())
 
-    def set_flat(self, x: np.ndarray) -> None:
-        for n in self.NAMES:
-            old = getattr(self, n)
-            setattr(self, n, x[: old.size].reshape(old.shape).astype(np.float32))
-            x = x[old.size :]
+    def classes(self, w: np.ndarray) -> np.ndarray:
+        return np.where(w < self.single, w, self.single + (w - self.single) // self.run)
 
     def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: np.ndarray, state: dict, rng: np.random.Generator) -> None:
-        """One step of NCE with a noise sample shared by the batch; AdaGrad."""
-        size = len(self.bias)
-        x = np.searchsorted(state["cdf"], rng.random(NOISE)).clip(0, size - 1)
+        """One step of NCE; AdaGrad. Classes have a noise sample shared by the batch, the words of a class one for each target."""
+        x = np.searchsorted(state["cdf"], rng.random(NOISE)).clip(0, self.top - 1)
         shift = np.log(NOISE * self.noise).astype(np.float32)
-        ra, rb = self.R[a], self.R[b]
+        ra, rb, c = self.R[a], self.R[b], self.classes(w)
         h = ra @ self.C1 + rb @ self.C2
-        pos = (h * self.Q[w]).sum(1) + self.bias[w] - shift[w]
+        pos = (h * self.Q[c]).sum(1) + self.bias[c] - shift[c]
         neg = h @ self.Q[x].T + self.bias[x] - shift[x]
         wt = (weight / weight.sum()).astype(np.float32)
         gp = -wt / (1 + np.exp(np.clip(pos, -30, 30)))
         gn = wt[:, None] / (1 + np.exp(np.clip(-neg, -30, 30)))
-        dh = gp[:, None] * self.Q[w] + gn @ self.Q[x]
-        gq, gr = _summed(w, np.hstack([gp[:, None] * h, gp[:, None]]), size), _summed(np.concatenate([a, b]), np.vstack([dh @ self.C1.T, dh @ self.C2.T]), size)
-        np.add.at(gq, x, np.hstack([gn.T @ h, gn.sum(0)[:, None]]))
-        for n, g in (("Q", gq[:, :-1]), ("bias", gq[:, -1]), ("R", gr), ("C1", ra.T @ dh), ("C2", rb.T @ dh)):
-            s = state[n] = state.get(n, 1e-10) + g * g
-            setattr(self, n, getattr(self, n) - np.float32(RATE) * g / np.sqrt(s))
+        dh = gp[:, None] * self.Q[c] + gn @ self.Q[x]
+        rows, grads = [c, x], [np.hstack([gp[:, None] * h, gp[:, None]]), np.hstack([gn.T @ h, gn.sum(0)[:, None]])]
+        at = np.flatnonzero(w >= self.single)
+        if len(at):
+            first = self.single + (c[at] - self.single) * self.run
+            many = np.minimum(first + self.run, self.size) - first
+            y = first[:, None] + (rng.random((len(at), OWN_NOISE)) * many[:, None]).astype(np.int64)
+            y = np.hstack([w[at][:, None], y]) + self.runs
+            own, q = h[at], self.Q[y]
+            z = np.einsum("nd,nkd->nk", own, q) + self.bias[y] - np.log(OWN_NOISE / many).astype(np.float32)[:, None]
+            z[:, 0] *= -1
+            g = wt[at][:, None] / (1 + np.exp(np.clip(-z, -30, 30)))
+            g[:, 0] *= -1
+            dh[at] += np.einsum("nk,nkd->nd", g, q)
+            rows.append(y.reshape(-1))
+            grads.append(np.concatenate([g[:, :, None] * own[:, None, :], g[:, :, None]], axis=2).reshape(-1, DIMS + 1))
+        k, g = _summed(np.concatenate(rows), np.vstack(grads))
+        j, r = _summed(np.concatenate([a, b]), np.vstack([dh @ self.C1.T, dh @ self.C2.T]))
+        for n, i, d in (("Q", k, g[:, :-1]), ("bias", k, g[:, -1]), ("R", j, r), ("C1", slice(None), ra.T @ dh), ("C2", slice(None), rb.T @ dh)):
+            p = getattr(self, n)
+            if n not in state:
+                state[n] = np.full_like(p, 1e-10)
+            state[n][i] += d * d
+            p[i] -= np.float32(RATE) * d / np.sqrt(state[n][i])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of every word after every a and after every b; their sum is the unnormalised log-probability."""
-        return (self.R @ self.C1) @ self.Q.T + self.bias, (self.R @ self.C2) @ self.Q.T
+        """Scores of every class after every a and after every b; their sum is the unnormalised log-probability."""
+        q = self.Q[: self.top]
+        return (self.R @ self.C1) @ q.T + self.bias[: self.top], (self.R @ self.C2) @ q.T
 
     def log_z(self) -> np.ndarray:
-        """ln of the normaliser for every context: a sum of products is one matrix product."""
+        """ln of the classes' normaliser for every context: a sum of products is one matrix product."""
         s1, s2 = (t.astype(np.float64) for t in self.tables())
         m1, m2 = s1.max(1, keepdims=True), s2.max(1, keepdims=True)
         return (np.log(np.exp(s1 - m1) @ np.exp(s2 - m2).T) + m1 + m2.T).astype(np.float32)
 
-
-def _summed(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Rows added up by index."""
+    def projected(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.R @ self.C1, self.R @ self.C2
+
+    def log_p(self, r1: np.ndarray, r2: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """ln P(w | a, b), normalised over all words: over the classes by blocks of tokens, over its words class by class."""
+        h, c = r1[a] + r2[b], self.classes(w)
+        out = np.empty(len(w))
+        for k in range(0, len(w), CHUNK):
+            out[k : k + CHUNK] = _log_softmax(h[k : k + CHUNK], self.Q[: self.top], self.bias[: self.top], c[k : k + CHUNK])
+        at = np.flatnonzero(w >= self.single)
+        at = at[np.argsort(c[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(c[at])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            for k in range(lo, hi, CHUNK):
+                i = at[k : min(k + CHUNK, hi)]
+                first = self.single + (c[i[0]] - self.single) * self.run
+                rows = slice(first + self.runs, min(first + self.run, self.size) + self.runs)
+                out[i] += _log_softmax(h[i], self.Q[rows], self.bias[rows], w[i] - first)
+        return out
+
+
+def _log_softmax(h: np.ndarray, q: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    s = h @ q.T
+    s += bias
+    own = s[np.arange(len(s)), target].astype(np.float64)
+    m = s.max(1, keepdims=True)
+    s -= m
+    np.exp(s, out=s)
+    return own - np.log(s.sum(1, dtype=np.float64)) - m[:, 0]
+
+
+def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices and their rows added up."""
     order = np.argsort(index, kind="stable")
     at = index[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def shape(size: int) -> tuple[int, int]:
+    """single and run for so many words: about as many classes as words in a class."""
+    root = math.isqrt(size)
+    return max(64, root // 3), root + 1
+
+
+def _changes(own: Model, start: dict, total: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each parameter that a task has changed, BLOCK rows of a parameter in one row."""
+    for n in Model.NAMES:
+        width = 1 if n == "bias" else DIMS
+        moved = (getattr(own, n) - start[n]).reshape(-1, width)
+        touched = np.flatnonzero(moved.any(1))
+        moved = moved[touched].astype(np.float16)
+        block, first = np.unique(touched // BLOCK, return_index=True)
+        ends = [*first[1:], len(touched)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n] * len(block)), pa.array(block), pa.array([touched[i:j].astype(np.int32).tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()), pa.array([moved[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()), pa.array([float(total)] * len(block))],
+            names=["name", "block", "rows", "v", "n"],
+        )
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    """The mean change of each row of a block over the tasks that changed it, by tokens."""
+    name, block = group["name"][0].as_py(), group["block"][0].as_py()
+    width = 1 if name == "bias" else DIMS
+    total, weight = np.zeros((BLOCK, width)), np.zeros((BLOCK, 1))
+    for r, v, n in zip(group["rows"], group["v"], group["n"], strict=True):
+        k = np.frombuffer(r.as_py(), np.int32) - block * BLOCK
+        total[k] += n.as_py() * np.frombuffer(v.as_py(), np.float16).reshape(-1, width).astype(np.float64)
+        weight[k] += n.as_py()
+    k = np.flatnonzero(weight[:, 0])
+    return pa.table({"name": [name], "rows": pa.array([(k + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "v": pa.array([(total[k] / weight[k]).astype(np.float32).tobytes()], pa.binary())})
 
 
 def trained(texts: DataFrame, vocabulary: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Each round, every task goes over all its texts from the same start; the models are averaged by tokens.
+    """Each round, every task goes over all its texts from the same start; a parameter's changes are averaged by tokens
+    over the tasks that changed it.
 
-    The averages are sums by parameter on the cluster; the driver gets one model.
+    The averages are formed by blocks of parameters on the cluster; the driver gets one model.
     """
-    spark, model = texts.sparkSession, Model(len(unigram), unigram)
+    spark, form = texts.sparkSession, shape(len(unigram))
+    model = Model(len(unigram), unigram, 1, *form)
     names = spark.sparkContext.broadcast(vocabulary)
+    # a task sends what it changed, which is most of the model: few large tasks send less
+    train = texts.select("b")
+    train = train.coalesce(max(2 * spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // 4))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((model.flat(), unigram, turn))
+        sent = spark.sparkContext.broadcast((model.get(), unigram, turn))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            flat, uni, turn = sent.value
-            own = Model(len(uni), uni)
-            own.set_flat(flat)
-            state, rng, total, buffer, held = {"cdf": np.cumsum(uni)}, np.random.default_rng(turn), 0, [], 0
+            start, uni, turn = sent.value
+            own = Model(len(uni), uni, 1, *form)
+            own.put(start)
+            state, rng, total, buffer, held = {"cdf": np.cumsum(own.noise)}, np.random.default_rng(turn), 0, [], 0
             get, size = names.value.get, len(uni)
 
             def step() -> None:
                 # equal trigrams are one, with a weight
-                packed, n = np.unique(np.concatenate(buffer), return_counts=True)
+                before, w = np.concatenate(buffer, axis=1)
                 buffer.clear()
-                parts = max(1, round(len(packed) / BATCH))
+                if size < 1 << 21:
+                    packed, n = np.unique(before * size + w, return_counts=True)
+                    before = packed // size
+                else:
+                    # three ids don't fit 64 bits
+                    pairs, k = np.unique(before, return_inverse=True)
+                    packed, n = np.unique(k * size + w, return_counts=True)
+                    before = pairs[packed // size]
+                w = packed % size
+                parts = max(1, round(len(w) / BATCH))
                 for _ in range(-(-LEAST_STEPS // parts)):
-                    for ids in np.array_split(rng.permutation(len(packed)), parts):
-                        p = packed[ids]
-                        own.learn(p // (size * size), p // size % size, p % size, n[ids].astype(np.float32), state, rng)
+                    for ids in np.array_split(rng.permutation(len(w)), parts):
+                        own.learn(before[ids] // size, before[ids] % size, w[ids], n[ids].astype(np.float32), state, rng)
 
             for b in batches:
                 for t in b.column(0).to_pylist():
                     i = np.array([START, START, *(get(w, UNK) for w in words(t)), END_ID], dtype=np.int64)
-                    buffer.append((i[:-2] * size + i[1:-1]) * size + i[2:])
+                    buffer.append(np.stack([i[:-2] * size + i[1:-1], i[2:]]))
                     held += len(i) - 2
                     total += len(i) - 2
                     if held >= BUFFER:
@@ -164,22 +273,22 @@ def trained(texts: DataFrame, vocabulary: dict[bytes, int], unigram: np.ndarray,
             if buffer:
                 step()
             if total:
-                out = own.flat().astype(np.float64) * total
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out), pa.array(np.full(len(out), total))], names=["i", "v", "n"])
-
-        mean = texts.select("b").mapInArrow(learn, "i bigint, v double, n bigint").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        if mean:
-            flat = np.zeros(len(mean))
-            flat[[r.i for r in mean]] = [r.v for r in mean]
-            model.set_flat(flat)
+                yield from _changes(own, start, total)
+
+        moved = train.mapInArrow(learn, "name string, block bigint, rows binary, v binary, n double")
+        for r in moved.groupBy("name", "block").applyInArrow(_mean, "name string, rows binary, v binary").collect():
+            p = getattr(model, r.name)
+            k = np.frombuffer(r.rows, np.int32)
+            p[k] += np.frombuffer(r.v, np.float32).reshape(len(k), *p.shape[1:])
+        sent.unpersist()
     return model
 
 
 def scores(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
-    Training texts are those outside the held-out fold. The model has MODEL_WORDS words; any other token is its
-    unknown word, times the token's add-one share among the tokens that aren't words of the model, so that all
+    Training texts are those outside the held-out fold. The model's words are all with LEAST_COUNT
+    occurrences, so that they grow with the corpus, and the FEWEST_WORDS most frequent; any other token is its unknown word, times the token's add-one share among the tokens that aren't words of the model, so that all
     tokens have positive probabilities that sum to 1. Counts are of all training texts: those of the most
     frequent tokens go to every task, the others are joined by token. A null text is empty: its only token is the
     end. A null doc_id trains. Repeated rows stay and all train; other columns are not read; without training
@@ -190,23 +299,23 @@ def scores(documents: DataFrame) -> DataFrame:
     train = rows.where(~F.col("held_out"))
     counts = stored(token_counts(train), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = frequent(counts, HEAD)
-    model_words = [(w, c) for w, c in head if w != END][: MODEL_WORDS - 3]
+    common = counts.where(F.col("c") >= LEAST_COUNT).toArrow()
+    seen = dict(frequent(counts, HEAD)) | dict(zip(common["token"].to_pylist(), common["c"].to_pylist(), strict=True))
+    head = sorted(seen.items(), key=lambda r: (-r[1], r[0]))
+    model_words = [(w, c) for k, (w, c) in enumerate(r for r in head if r[0] != END) if c >= LEAST_COUNT or k < FEWEST_WORDS]
     vocabulary = {w: k + 3 for k, (w, _) in enumerate(model_words)} | {END: END_ID}
-    ends = dict(head).get(END, 0)
+    ends = seen.get(END, 0)
     unknown = n - ends - sum(c for _, c in model_words)
     unigram = np.array([unknown + 1, ends + 1, 1, *(c for _, c in model_words)], dtype=np.float64)
     model = trained(train, vocabulary, unigram / unigram.sum())
     # of the unknown word's tokens
     rest = unknown + v - len(model_words) - (ends > 0) + 1
     table = {w: (vocabulary.get(w, UNK), c) for w, c in head} | ({} if ends else {END: (END_ID, 0)})
-    sent = spark.sparkContext.broadcast((model.flat(), unigram / unigram.sum(), model.log_z(), table))
+    sent = spark.sparkContext.broadcast((model, table))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, uni, log_z, known = sent.value
-        own = Model(len(uni), uni)
-        own.set_flat(flat)
-        s1, s2 = own.tables()
+        own, known = sent.value
+        r1, r2 = own.projected()
         index = {w: k for k, w in enumerate(known)}
         ids = np.array([i for i, _ in known.values()] + [UNK], dtype=np.int64)
         logs = np.array([math.log10(c + 1) for _, c in known.values()] + [0.0])
@@ -217,22 +326,37 @@ def scores(documents: DataFrame) -> DataFrame:
         for b in batches:
             out = [[] for _ in range(5)]
             lists, tokens, times = [0], [], []
+            waiting, held = [], 0
+
+            def flush() -> None:
+                p = own.log_p(r1, r2, *(np.concatenate(part) for part in zip(*waiting, strict=True)))
+                sums = np.add.reduceat(p, np.cumsum([0, *(len(z) for _, _, z in waiting[:-1])])) / math.log(10)
+                for j, v in enumerate(sums, len(out[3]) - len(waiting)):
+                    out[3][j] += float(v)
+                waiting.clear()
+
             for t in b.column("b").to_pylist():
                 w = words(t)
                 w.append(END)
                 k = np.fromiter((get(x, last) for x in w), dtype=np.int64, count=len(w))
                 i = np.concatenate([[START, START], ids[k]])
                 x, y, z = i[:-2], i[1:-1], i[2:]
-                lm = (s1[x, z] + s2[y, z] - log_z[x, y]).astype(np.float64).sum() / math.log(10)
                 tail = Counter(w[j] for j in np.flatnonzero(k == last))
                 out[0].append(len(w))
                 out[1].append(int(some[k].sum()))
                 out[2].append(float(logs[k].sum()))
-                out[3].append(float(lm + share[k].sum()))
+                out[3].append(float(share[k].sum()))
                 out[4].append(int((z == UNK).sum()))
                 tokens += tail
                 times += tail.values()
                 lists.append(len(tokens))
+                waiting.append((x, y, z))
+                held += len(z)
+                if held >= SCORED:
+                    flush()
+                    held = 0
+            if waiting:
+                flush()
             pair = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], names=["token", "times"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pair)],

@@ -45,6 +45,34 @@ def test_normalised():
     assert np.allclose(p.sum(2), 1, atol=1e-3)
 
 
+def test_classes_normalised():
+    """Blocked scores over classes and their words sum to 1 and are the plain softmaxes."""
+    rng = np.random.default_rng(1)
+    uni = rng.random(50)
+    m = L.Model(50, uni / uni.sum(), single=8, run=9)
+    m.R, m.Q = rng.normal(0, 1, m.R.shape).astype(np.float32), rng.normal(0, 1, m.Q.shape).astype(np.float32)
+    a, b, w = (x.reshape(-1) for x in np.meshgrid(np.arange(50), [3, 49], np.arange(50), indexing="ij"))
+    lp = m.log_p(*m.projected(), a, b, w)
+    assert np.allclose(np.exp(lp).reshape(50, 2, 50).sum(2), 1, atol=1e-4)
+    s1, s2 = m.tables()
+    alone = w < 8
+    assert np.allclose(lp[alone], (s1[a, np.minimum(w, 7)] + s2[b, np.minimum(w, 7)] - m.log_z()[a, b])[alone], atol=1e-3)
+
+
+def test_rare_words_told_apart(spark):
+    """Beyond the 2,045 most frequent words, the model still tells which word follows which."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        pairs = [rng.randrange(2500) for _ in range(150)]
+        rows.append((i, " ".join(f"a{k} b{k}" for k in pairs), "en", "s", 0))
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    got = {r.doc_id: r for r in L.scores(df).collect()}
+    held = [r for k, r in got.items() if r.held_out and k < 500]
+    # half of all words are certain; counts alone can't see that
+    assert sum(r.score for r in held) > 0.85 * sum(r.base_score for r in held)
+
+
 def test_learns_order(spark):
     """Held-out texts with the training texts' word order score better than under counts alone."""
     rng = random.Random(2)
