@@ -44,22 +44,24 @@ def _split(rows: DataFrame, limit: int, first_bits: int) -> tuple[DataFrame, Dat
         low, high = high + 1, min(BITS, high + 8)
 
 
-def extendible_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int) -> DataFrame:
+def extendible_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int, whole: bool = False) -> DataFrame:
     """Each row's shard: the hash prefix of its bucket in an extendible hash directory.
 
     Returns key, n_bytes, shard (the prefix's bits), depth, shard_bytes, shard_rows, oversized.
     Bits come from md5 of the key as text. Rows that agree in all 60 of these bits (repeated keys) go on
     with bits of the row's number, so a key that holds a third of all rows is split as well.
     A single row above the limit is a shard of its own, with oversized true. A null size counts as 0
-    bytes, a null key as the text 'null'. Other columns of df are not read. An empty table gives no rows.
+    bytes, a null key as the text 'null'. Other columns of df are not read, unless whole: then each row comes along
+    as the struct _row. An empty table gives no rows.
     """
-    rows = df.select(F.col(key).alias("k"), F.coalesce(size, F.lit(0)).cast("bigint").alias("bytes"), F.monotonically_increasing_id().alias("row"))
-    rows = stored(rows, "sizes")
+    row = [F.struct(*df.columns).alias("_row")] if whole else []
+    rows = df.select(F.col(key).alias("k"), F.coalesce(size, F.lit(0)).cast("bigint").alias("bytes"), F.monotonically_increasing_id().alias("row"), *row)
+    rows, row = stored(rows, "sizes"), ["_row"] if whole else []
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + 3)
     key_bits = F.conv(F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("bigint")
     row_bits = F.shiftrightunsigned(F.xxhash64("row"), 64 - BITS)
-    rest, parts = rows.select("k", "bytes", "row", F.lit("").alias("parent"), key_bits.alias("h")), []
+    rest, parts = rows.select("k", "bytes", "row", *row, F.lit("").alias("parent"), key_bits.alias("h")), []
     for last in (False, True):
         done, rest = _split(rest, limit_bytes, bits)
         parts.append(done)
@@ -67,7 +69,7 @@ def extendible_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int)
             break
         # the parent is the whole hash; the next directory starts below it
         own = F.concat("parent", F.lpad(F.bin("h"), BITS, "0"))
-        rest = rest.select("k", "bytes", "row", own.alias("parent"), row_bits.alias("h"))
+        rest = rest.select("k", "bytes", "row", *row, own.alias("parent"), row_bits.alias("h"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -79,10 +81,12 @@ def extendible_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int)
         F.col("at.shard_bytes").alias("shard_bytes"),
         F.col("at.shard_rows").alias("shard_rows"),
         (F.col("at.shard_bytes") > limit_bytes).alias("oversized"),
+        *row,
     )
 
 
-def write_shards(df: DataFrame, key: str, shards: DataFrame, path: str) -> None:
-    """df as one folder per shard. Repeated keys follow the key's first shard."""
-    names = shards.groupBy(F.col(key).alias("_k")).agg(F.min("shard").alias("shard"))
-    df.join(names, df[key].eqNullSafe(names["_k"])).drop("_k").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int, path: str) -> None:
+    """df as one folder per shard of extendible_shards, each row in its own shard: the rows of a repeated key are
+    split as the shards are, so shard_bytes and shard_rows are those of the folder."""
+    rows = extendible_shards(df, key, size, limit_bytes, whole=True)
+    rows.select("_row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
