@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that driver and executors share; one of our own only in local mode, where there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quill-"))
 
 
@@ -61,7 +67,7 @@ def words(text: bytes) -> list[bytes]:
 class _Hashes(dict):
     """64-bit hashes of words; forgets all when full, so that a worker's memory stays bounded."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -77,6 +83,44 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
+SLICE_BYTES = 4 << 20  # of texts that a task looks at together
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most that many bytes of a column, or one row; no row is left out."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(column)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < len(b):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
+def _freed() -> None:
+    """Gives back what a task's tables held, as an idle worker keeps its memory."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(function: Callable, column: str | None) -> Callable:
+    """A function of batches that gets them in slices of bounded bytes of a column, and whose memory is given back."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(sliced(batches, column) if column else batches)
+        finally:
+            _freed()
+
+    return run
+
+
 _ODD = np.array([xxhash.xxh3_64_intdigest(b"position", seed=i) | 1 for i in range(64)], dtype=np.uint64)
 
 
@@ -98,7 +142,3 @@ def gram_hashes(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     for i in offsets:
         out += h[i : i + n] * _ODD[i]
     return mixed(out)
-
-
-def session_tokenizer_folder() -> str:
-    return os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")

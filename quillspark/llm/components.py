@@ -62,17 +62,20 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (got["n"], got["h"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node, component of every node of the edges (a, b): the least node reachable.
 
     Alternating large and small stars: each round hangs neighbours on the least node seen, joins within tasks what a
     task holds, and is a table in the shared folder. Loops and edges with nulls are left out. A hub's rows are
-    summed before they are shuffled, and joins on it can be split.
+    summed before they are shuffled, and joins on it can be split. Raises if that many rounds don't settle it;
+    the number needed grows with the logarithm of the longest path.
     """
     e, mark = _kept(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    for _ in range(rounds):
-        if mark[0] == 0:
-            break
+    settled = mark[0] == 0
+    while not settled:
+        if not rounds:
+            raise RuntimeError("components did not settle")
+        rounds -= 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # larger neighbours hang on a node's least neighbour, and so does the node itself
@@ -84,7 +87,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new, old = _kept(turned.unionByName(small.select("u", F.col("m").alias("v")))), mark
         dropped(e)
         e, mark = new
-        if mark == old:
-            break
+        settled = mark[0] == 0 or mark == old
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

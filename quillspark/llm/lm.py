@@ -11,23 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored, text_bytes, words
+from .common import dropped, fold, lean, stored, text_bytes, words
 
 END = b"\n"  # no word can hold white space
 UNK, END_ID, START = 0, 1, 2  # of the model's vocabulary
 LEAST_COUNT = 20  # of a word of the model
 FEWEST_WORDS = 2045  # of the model: a small corpus has its most frequent words, however rare
+MOST_WORDS = 1 << 19  # of the model, which goes to every task
+CONTEXT = 6  # tokens before a word that its probability depends on
 DIMS = 16
-NOISE = 32
+NOISE = 64
 OWN_NOISE = 4  # noise words from the target's class
 BLOCK = 1024  # rows of parameters that are averaged together
 CHUNK = 2048  # tokens scored by one matrix product
 SCORED = 1 << 17  # tokens whose classes are scored together
-BATCH = 8192
-BUFFER = 1 << 20
-LEAST_STEPS = 60  # of a buffer; a small corpus is gone over several times
+BATCH = 4096
+SHARD = 1 << 19  # training tokens that are learned from one start, and as many as PER_WORD for each word of the model
+PER_WORD = 32
 ROUNDS = 2
-RATE = 0.08
+RATE = 0.1
 HEAD = 1 << 17  # tokens whose counts every task holds
 MOST_COUNTED = 300_000
 
@@ -52,32 +54,43 @@ def token_counts(texts: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return texts.select("b").mapInArrow(count, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    return texts.select("b").mapInArrow(lean(count, "b"), "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent tokens, at most that many: all of a band of counts or none of it, so never more."""
-    band = F.floor(F.log2("c") * 16)
-    sizes = sorted(((r.band, r.n) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for b, n in sizes:
-        if total + n > most:
+    """The most frequent tokens, at most that many; of equally frequent ones those whose hashes come first.
+
+    Bands of counts, then counts, then hashes are summed on the cluster until the boundary is found, so that only
+    what is taken is collected. What shares the last hash with the boundary (one in 65,536 of a count's tokens) may be left out.
+    """
+    taken, edge, room = F.lit(False), F.lit(True), most
+    for key, down in ((F.floor(F.log2("c") * 16), True), (F.col("c"), True), (F.pmod(F.xxhash64("token"), F.lit(1 << 16)), False)):
+        sizes = sorted(((r.k, r.n) for r in counts.where(edge).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=down)
+        cut = None
+        for k, n in sizes:
+            if n > room:
+                cut = k
+                break
+            room -= n
+        if cut is None:
+            taken = taken | edge
             break
-        total, least = total + n, b
-    if least is None:
-        return []
-    return sorted(((bytes(r.token), r.c) for r in counts.where(band >= least).collect()), key=lambda r: (-r[1], r[0]))
+        taken = taken | (edge & ((key > cut) if down else (key < cut)))
+        edge = edge & (key == cut)
+    return sorted(((bytes(r.token), r.c) for r in counts.where(taken).collect()), key=lambda r: (-r[1], r[0]))
 
 
 class Model:
-    """P(w | a, b) for the two tokens before w, by word classes: P(class of w | a, b) P(w | class of w, a, b).
+    """P(w | the CONTEXT tokens before it), by word classes: P(class of w | context) P(w | class of w, context).
 
-    Both factors are softmaxes of (R[a] C1 + R[b] C2) . Q[k] + bias[k], the first over all classes, the second over
-    the words of one class. Ids below single are classes by themselves; from there on each run of ids is a class.
-    Rows of Q and bias: the classes (top of them), then the words from single on. Without a run every word is a class.
+    Log-bilinear: a context is the sum of its tokens' rows of R, each scaled by the weights C of its place. Both
+    factors are softmaxes of context . Q[k] + bias[k], the first over all classes, the second over the words of one
+    class. Ids below single are classes by themselves; from there on each run of ids is a class. Rows of Q and bias:
+    the classes (top of them), then the words from single on. Without a run every word is a class. Untrained, it
+    is the unigram model.
     """
 
-    NAMES = ("R", "Q", "C1", "C2", "bias")
+    NAMES = ("R", "Q", "C", "bias")
 
     def __init__(self, size: int, unigram: np.ndarray, seed: int = 1, single: int | None = None, run: int = 1):
         rng = np.random.default_rng(seed)
@@ -86,8 +99,9 @@ class Model:
         self.top = self.single + self.runs
         tail = unigram[self.single :]
         mass = np.add.reduceat(tail, np.arange(0, len(tail), run)) if len(tail) else tail
-        self.R, self.Q = (rng.normal(0, 0.1, (n, DIMS)).astype(np.float32) for n in (size, size + self.runs))
-        self.C1, self.C2 = (np.eye(DIMS, dtype=np.float32) * s for s in (0.5, 1.0))
+        self.R = rng.normal(0, 0.1, (size, DIMS)).astype(np.float32)
+        self.Q = np.zeros((size + self.runs, DIMS), np.float32)
+        self.C = np.full((CONTEXT, DIMS), 1 / CONTEXT, np.float32)
         self.noise = np.concatenate([unigram[: self.single], mass])
         self.bias = np.log(np.concatenate([self.noise, tail / np.repeat(mass, run)[: len(tail)]])).astype(np.float32)
 
@@ -101,19 +115,25 @@ class Model:
     def classes(self, w: np.ndarray) -> np.ndarray:
         return np.where(w < self.single, w, self.single + (w - self.single) // self.run)
 
-    def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: np.ndarray, state: dict, rng: np.random.Generator) -> None:
+    def contexts(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of CONTEXT ids, the nearest last."""
+        h = self.R[x[:, 0]] * self.C[0]
+        for k in range(1, CONTEXT):
+            h += self.R[x[:, k]] * self.C[k]
+        return h
+
+    def learn(self, x: np.ndarray, w: np.ndarray, weight: np.ndarray, state: dict, rng: np.random.Generator) -> None:
         """One step of NCE; AdaGrad. Classes have a noise sample shared by the batch, the words of a class one for each target."""
-        x = np.searchsorted(state["cdf"], rng.random(NOISE)).clip(0, self.top - 1)
+        z = np.searchsorted(state["cdf"], rng.random(NOISE)).clip(0, self.top - 1)
         shift = np.log(NOISE * self.noise).astype(np.float32)
-        ra, rb, c = self.R[a], self.R[b], self.classes(w)
-        h = ra @ self.C1 + rb @ self.C2
+        h, c = self.contexts(x), self.classes(w)
         pos = (h * self.Q[c]).sum(1) + self.bias[c] - shift[c]
-        neg = h @ self.Q[x].T + self.bias[x] - shift[x]
-        wt = (weight / weight.sum()).astype(np.float32)
+        neg = h @ self.Q[z].T + self.bias[z] - shift[z]
+        wt = weight.astype(np.float32)
         gp = -wt / (1 + np.exp(np.clip(pos, -30, 30)))
         gn = wt[:, None] / (1 + np.exp(np.clip(-neg, -30, 30)))
-        dh = gp[:, None] * self.Q[c] + gn @ self.Q[x]
-        rows, grads = [c, x], [np.hstack([gp[:, None] * h, gp[:, None]]), np.hstack([gn.T @ h, gn.sum(0)[:, None]])]
+        dh = gp[:, None] * self.Q[c] + gn @ self.Q[z]
+        rows, grads = [c, z], [np.hstack([gp[:, None] * h, gp[:, None]]), np.hstack([gn.T @ h, gn.sum(0)[:, None]])]
         at = np.flatnonzero(w >= self.single)
         if len(at):
             first = self.single + (c[at] - self.single) * self.run
@@ -121,39 +141,26 @@ class Model:
             y = first[:, None] + (rng.random((len(at), OWN_NOISE)) * many[:, None]).astype(np.int64)
             y = np.hstack([w[at][:, None], y]) + self.runs
             own, q = h[at], self.Q[y]
-            z = np.einsum("nd,nkd->nk", own, q) + self.bias[y] - np.log(OWN_NOISE / many).astype(np.float32)[:, None]
-            z[:, 0] *= -1
-            g = wt[at][:, None] / (1 + np.exp(np.clip(-z, -30, 30)))
+            s = np.einsum("nd,nkd->nk", own, q) + self.bias[y] - np.log(OWN_NOISE / many).astype(np.float32)[:, None]
+            s[:, 0] *= -1
+            g = wt[at][:, None] / (1 + np.exp(np.clip(-s, -30, 30)))
             g[:, 0] *= -1
             dh[at] += np.einsum("nk,nkd->nd", g, q)
             rows.append(y.reshape(-1))
             grads.append(np.concatenate([g[:, :, None] * own[:, None, :], g[:, :, None]], axis=2).reshape(-1, DIMS + 1))
         k, g = _summed(np.concatenate(rows), np.vstack(grads))
-        j, r = _summed(np.concatenate([a, b]), np.vstack([dh @ self.C1.T, dh @ self.C2.T]))
-        for n, i, d in (("Q", k, g[:, :-1]), ("bias", k, g[:, -1]), ("R", j, r), ("C1", slice(None), ra.T @ dh), ("C2", slice(None), rb.T @ dh)):
+        j, r = _summed(x.T.reshape(-1), np.vstack([dh * self.C[i] for i in range(CONTEXT)]))
+        places = np.stack([(dh * self.R[x[:, i]]).sum(0) for i in range(CONTEXT)])
+        for n, i, d in (("Q", k, g[:, :-1]), ("bias", k, g[:, -1]), ("R", j, r), ("C", slice(None), places)):
             p = getattr(self, n)
             if n not in state:
-                state[n] = np.full_like(p, 1e-10)
+                state[n] = np.ones_like(p)
             state[n][i] += d * d
             p[i] -= np.float32(RATE) * d / np.sqrt(state[n][i])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of every class after every a and after every b; their sum is the unnormalised log-probability."""
-        q = self.Q[: self.top]
-        return (self.R @ self.C1) @ q.T + self.bias[: self.top], (self.R @ self.C2) @ q.T
-
-    def log_z(self) -> np.ndarray:
-        """ln of the classes' normaliser for every context: a sum of products is one matrix product."""
-        s1, s2 = (t.astype(np.float64) for t in self.tables())
-        m1, m2 = s1.max(1, keepdims=True), s2.max(1, keepdims=True)
-        return (np.log(np.exp(s1 - m1) @ np.exp(s2 - m2).T) + m1 + m2.T).astype(np.float32)
-
-    def projected(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.R @ self.C1, self.R @ self.C2
-
-    def log_p(self, r1: np.ndarray, r2: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """ln P(w | a, b), normalised over all words: over the classes by blocks of tokens, over its words class by class."""
-        h, c = r1[a] + r2[b], self.classes(w)
+    def log_p(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """ln P(w | x), normalised over all words: over the classes by blocks of tokens, over its words class by class."""
+        h, c = self.contexts(x), self.classes(w)
         out = np.empty(len(w))
         for k in range(0, len(w), CHUNK):
             out[k : k + CHUNK] = _log_softmax(h[k : k + CHUNK], self.Q[: self.top], self.bias[: self.top], c[k : k + CHUNK])
@@ -193,23 +200,28 @@ def shape(size: int) -> tuple[int, int]:
     return max(64, root // 3), root + 1
 
 
-def _changes(own: Model, start: dict, total: int) -> Iterator[pa.RecordBatch]:
-    """The rows of each parameter that a task has changed, BLOCK rows of a parameter in one row."""
+_CHANGES = pa.schema([("name", pa.string()), ("block", pa.int64()), ("shard", pa.int64()), ("rows", pa.binary()), ("v", pa.binary()), ("n", pa.float64())])
+
+
+def _changes(own: Model, start: dict, shard: int, total: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each parameter that a shard has changed, BLOCK rows of a parameter in one row."""
     for n in Model.NAMES:
         width = 1 if n == "bias" else DIMS
         moved = (getattr(own, n) - start[n]).reshape(-1, width)
         touched = np.flatnonzero(moved.any(1))
+        if not len(touched):
+            continue
         moved = moved[touched].astype(np.float16)
         block, first = np.unique(touched // BLOCK, return_index=True)
         ends = [*first[1:], len(touched)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n] * len(block)), pa.array(block), pa.array([touched[i:j].astype(np.int32).tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()), pa.array([moved[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()), pa.array([float(total)] * len(block))],
-            names=["name", "block", "rows", "v", "n"],
-        )
+        cuts = list(zip(first, ends, strict=True))
+        cols = [[n] * len(block), block, [shard] * len(block), [touched[i:j].astype(np.int32).tobytes() for i, j in cuts], [moved[i:j].tobytes() for i, j in cuts], [float(total)] * len(block)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CHANGES, strict=True)], schema=_CHANGES)
 
 
 def _mean(group: pa.Table) -> pa.Table:
-    """The mean change of each row of a block over the tasks that changed it, by tokens."""
+    """The mean change of each row of a block over the shards that changed it, by tokens."""
+    group = group.sort_by("shard")
     name, block = group["name"][0].as_py(), group["block"][0].as_py()
     width = 1 if name == "bias" else DIMS
     total, weight = np.zeros((BLOCK, width)), np.zeros((BLOCK, 1))
@@ -221,66 +233,61 @@ def _mean(group: pa.Table) -> pa.Table:
     return pa.table({"name": [name], "rows": pa.array([(k + block * BLOCK).astype(np.int32).tobytes()], pa.binary()), "v": pa.array([(total[k] / weight[k]).astype(np.float32).tobytes()], pa.binary())})
 
 
-def trained(texts: DataFrame, vocabulary: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Each round, every task goes over all its texts from the same start; a parameter's changes are averaged by tokens
-    over the tasks that changed it.
+def _numbered(texts: DataFrame, vocabulary: dict[bytes, int], shards: int) -> DataFrame:
+    """shard, h, times and ids (32-bit) of the training texts; equal rows of a slice are one, with their number."""
+    names = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = names.value.get
+        for b in batches:
+            rows: Counter = Counter(zip(b.column("h").to_pylist(), b.column("b").to_pylist(), strict=True))
+            ids = [np.array([*(get(w, UNK) for w in words(t)), END_ID], dtype=np.int32).tobytes() for _, t in rows]
+            h = np.array([k for k, _ in rows], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h % shards), pa.array(h), pa.array(list(rows.values()), pa.int64()), pa.array(ids, pa.binary())], names=["shard", "h", "times", "ids"])
+
+    rows = texts.select(F.xxhash64("doc_id", "b").alias("h"), "b")
+    return rows.mapInArrow(lean(number, "b"), "shard bigint, h bigint, times bigint, ids binary")
+
+
+def trained(texts: DataFrame, vocabulary: dict[bytes, int], unigram: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Model:
+    """Each round, every shard of the texts is gone over once from the same start; a parameter's changes are averaged
+    by tokens over the shards that changed it.
 
-    The averages are formed by blocks of parameters on the cluster; the driver gets one model.
+    Texts are dealt to shards by their hash and come in its order, so the model doesn't depend on partitions. A shard
+    has as many tokens for each word of the model, whatever the corpus, so that what the shards send stays in
+    proportion to it. The averages are formed by blocks of parameters on the cluster; the driver gets one model.
     """
     spark, form = texts.sparkSession, shape(len(unigram))
     model = Model(len(unigram), unigram, 1, *form)
-    names = spark.sparkContext.broadcast(vocabulary)
-    # a task sends what it changed, which is most of the model: few large tasks send less
-    train = texts.select("b")
-    train = train.coalesce(max(2 * spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // 4))
+    if not tokens:
+        return model
+    train = stored(_numbered(texts, vocabulary, max(1, round(tokens / max(SHARD, PER_WORD * len(unigram))))), "numbered")
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((model.get(), unigram, turn))
 
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def learn(rows: pa.Table) -> pa.Table:  # runs before the next turn
             start, uni, turn = sent.value
+            shard = rows["shard"][0].as_py()
+            rows = rows.group_by(["h", "ids"]).aggregate([("times", "sum")]).sort_by([("h", "ascending"), ("ids", "ascending")])
             own = Model(len(uni), uni, 1, *form)
             own.put(start)
-            state, rng, total, buffer, held = {"cdf": np.cumsum(own.noise)}, np.random.default_rng(turn), 0, [], 0
-            get, size = names.value.get, len(uni)
-
-            def step() -> None:
-                # equal trigrams are one, with a weight
-                before, w = np.concatenate(buffer, axis=1)
-                buffer.clear()
-                if size < 1 << 21:
-                    packed, n = np.unique(before * size + w, return_counts=True)
-                    before = packed // size
-                else:
-                    # three ids don't fit 64 bits
-                    pairs, k = np.unique(before, return_inverse=True)
-                    packed, n = np.unique(k * size + w, return_counts=True)
-                    before = pairs[packed // size]
-                w = packed % size
-                parts = max(1, round(len(w) / BATCH))
-                for _ in range(-(-LEAST_STEPS // parts)):
-                    for ids in np.array_split(rng.permutation(len(w)), parts):
-                        own.learn(before[ids] // size, before[ids] % size, w[ids], n[ids].astype(np.float32), state, rng)
-
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    i = np.array([START, START, *(get(w, UNK) for w in words(t)), END_ID], dtype=np.int64)
-                    buffer.append(np.stack([i[:-2] * size + i[1:-1], i[2:]]))
-                    held += len(i) - 2
-                    total += len(i) - 2
-                    if held >= BUFFER:
-                        step()
-                        held = 0
-            if buffer:
-                step()
-            if total:
-                yield from _changes(own, start, total)
-
-        moved = train.mapInArrow(learn, "name string, block bigint, rows binary, v binary, n double")
+            state, rng = {"cdf": np.cumsum(own.noise)}, np.random.default_rng([turn, shard])
+            parts = [np.concatenate([np.full(CONTEXT, START, np.int32), np.frombuffer(x.as_py(), np.int32)]) for x in rows["ids"]]
+            ids, size = np.concatenate(parts), np.array([len(p) - CONTEXT for p in parts])
+            # the places of all tokens but the starts
+            at = np.arange(size.sum()) + np.repeat(CONTEXT * np.arange(1, len(size) + 1), size)
+            times = np.repeat(rows["times_sum"].to_numpy(), size)
+            for k in np.array_split(rng.permutation(len(at)), max(1, round(len(at) / BATCH))):
+                own.learn(np.stack([ids[at[k] - CONTEXT + i] for i in range(CONTEXT)], 1), ids[at[k]].astype(np.int64), times[k], state, rng)
+            return pa.Table.from_batches(list(_changes(own, start, shard, int(times.sum()))), _CHANGES)
+
+        moved = train.groupBy("shard").applyInArrow(learn, "name string, block bigint, shard bigint, rows binary, v binary, n double")
         for r in moved.groupBy("name", "block").applyInArrow(_mean, "name string, rows binary, v binary").collect():
             p = getattr(model, r.name)
             k = np.frombuffer(r.rows, np.int32)
             p[k] += np.frombuffer(r.v, np.float32).reshape(len(k), *p.shape[1:])
         sent.unpersist()
+    dropped(train)
     return model
 
 
@@ -288,26 +295,26 @@ def scores(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
     Training texts are those outside the held-out fold. The model's words are all with LEAST_COUNT
-    occurrences, so that they grow with the corpus, and the FEWEST_WORDS most frequent; any other token is its unknown word, times the token's add-one share among the tokens that aren't words of the model, so that all
-    tokens have positive probabilities that sum to 1. Counts are of all training texts: those of the most
-    frequent tokens go to every task, the others are joined by token. A null text is empty: its only token is the
-    end. A null doc_id trains. Repeated rows stay and all train; other columns are not read; without training
-    texts every count is 0 and base_score is 0; an empty table gives no rows.
+    occurrences, so that they grow with the corpus, and the FEWEST_WORDS most frequent; above MOST_WORDS the most
+    frequent of them. Any other token is its unknown word, times the token's add-one share among the tokens that
+    aren't words of the model, so that all tokens have positive probabilities that sum to 1. Counts are of all training
+    texts: those of the most frequent tokens go to every task, the others are joined by token. A null text is empty:
+    its only token is the end. A null doc_id trains. Repeated rows stay and all train; other columns are not read;
+    without training texts every count is 0 and base_score is 0; an empty table gives no rows.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", fold("doc_id", 7, 2).alias("held_out"), text_bytes().alias("b"))
     train = rows.where(~F.col("held_out"))
     counts = stored(token_counts(train), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    common = counts.where(F.col("c") >= LEAST_COUNT).toArrow()
-    seen = dict(frequent(counts, HEAD)) | dict(zip(common["token"].to_pylist(), common["c"].to_pylist(), strict=True))
+    seen = dict(frequent(counts, HEAD)) | dict(frequent(counts.where(F.col("c") >= LEAST_COUNT), MOST_WORDS))
     head = sorted(seen.items(), key=lambda r: (-r[1], r[0]))
-    model_words = [(w, c) for k, (w, c) in enumerate(r for r in head if r[0] != END) if c >= LEAST_COUNT or k < FEWEST_WORDS]
+    model_words = [(w, c) for k, (w, c) in enumerate(r for r in head if r[0] != END) if (c >= LEAST_COUNT and k < MOST_WORDS) or k < FEWEST_WORDS]
     vocabulary = {w: k + 3 for k, (w, _) in enumerate(model_words)} | {END: END_ID}
     ends = seen.get(END, 0)
     unknown = n - ends - sum(c for _, c in model_words)
     unigram = np.array([unknown + 1, ends + 1, 1, *(c for _, c in model_words)], dtype=np.float64)
-    model = trained(train, vocabulary, unigram / unigram.sum())
+    model = trained(train.select("doc_id", "b"), vocabulary, unigram / unigram.sum(), n)
     # of the unknown word's tokens
     rest = unknown + v - len(model_words) - (ends > 0) + 1
     table = {w: (vocabulary.get(w, UNK), c) for w, c in head} | ({} if ends else {END: (END_ID, 0)})
@@ -315,7 +322,6 @@ def scores(documents: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = sent.value
-        r1, r2 = own.projected()
         index = {w: k for k, w in enumerate(known)}
         ids = np.array([i for i, _ in known.values()] + [UNK], dtype=np.int64)
         logs = np.array([math.log10(c + 1) for _, c in known.values()] + [0.0])
@@ -329,8 +335,8 @@ def scores(documents: DataFrame) -> DataFrame:
             waiting, held = [], 0
 
             def flush() -> None:
-                p = own.log_p(r1, r2, *(np.concatenate(part) for part in zip(*waiting, strict=True)))
-                sums = np.add.reduceat(p, np.cumsum([0, *(len(z) for _, _, z in waiting[:-1])])) / math.log(10)
+                p = own.log_p(*(np.concatenate(part) for part in zip(*waiting, strict=True)))
+                sums = np.add.reduceat(p, np.cumsum([0, *(len(z) for _, z in waiting[:-1])])) / math.log(10)
                 for j, v in enumerate(sums, len(out[3]) - len(waiting)):
                     out[3][j] += float(v)
                 waiting.clear()
@@ -339,8 +345,8 @@ def scores(documents: DataFrame) -> DataFrame:
                 w = words(t)
                 w.append(END)
                 k = np.fromiter((get(x, last) for x in w), dtype=np.int64, count=len(w))
-                i = np.concatenate([[START, START], ids[k]])
-                x, y, z = i[:-2], i[1:-1], i[2:]
+                z = ids[k]
+                x = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(CONTEXT, START), z[:-1]]), CONTEXT)
                 tail = Counter(w[j] for j in np.flatnonzero(k == last))
                 out[0].append(len(w))
                 out[1].append(int(some[k].sum()))
@@ -350,7 +356,7 @@ def scores(documents: DataFrame) -> DataFrame:
                 tokens += tail
                 times += tail.values()
                 lists.append(len(tokens))
-                waiting.append((x, y, z))
+                waiting.append((x, z))
                 held += len(z)
                 if held >= SCORED:
                     flush()
@@ -363,7 +369,7 @@ def scores(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "held_out", "n_tokens", "known", "logs", "lm", "unknown", "tail"],
             )
 
-    scored = rows.mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, lm double, unknown bigint, tail array<struct<token: binary, times: bigint>>")
+    scored = rows.mapInArrow(lean(score, "b"), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, lm double, unknown bigint, tail array<struct<token: binary, times: bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.inline("tail")).join(counts, "token")
     sums = tail.groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("l"))

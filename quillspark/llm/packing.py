@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session_tokenizer_folder, stored
+from .common import dropped, lean, stored
 
 LENGTH = 4096
 STEP = 4  # lengths are rounded up to this for the histogram, so a combination wastes less than 3 * STEP
@@ -47,7 +47,7 @@ class Encoder:
     else goes through the tokenizer, part by part. When too many pieces are known, those of the batch stay.
     """
 
-    MOST = 600_000
+    MOST = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,14 +125,11 @@ def encoded(documents: DataFrame, keep: list[str], tokenizer: str) -> DataFrame:
         encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
         _ENCODERS[tokenizer] = encoder
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            for i in range(0, len(texts), 1024):
-                ids = encoder(texts[i : i + 1024])
-                part = b.slice(i, len(ids))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n", "ids"])
+            ids = encoder(b.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n", "ids"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(encode, f"{fields}n bigint, ids binary")
+    return rows.mapInArrow(lean(encode, "_text"), f"{fields}n bigint, ids binary")
 
 
 def combinations(histogram: np.ndarray) -> np.ndarray:
@@ -222,7 +219,10 @@ def packed(documents: DataFrame, tokenizer: str | None = None, window: int = LEN
     read; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    tokenizer = tokenizer or os.path.join(session_tokenizer_folder(), "word_bpe_49k.json")
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = stored(encoded(documents, ["doc_id"], tokenizer).withColumn("key", F.monotonically_increasing_id()), "ids")
     top = window // step
     narrow = rows.select("key", "n", F.shiftright("key", 33).alias("part"), (F.col("n") % window).alias("r"), F.floor(F.col("n") / window).alias("full"))
@@ -268,9 +268,9 @@ def packed(documents: DataFrame, tokenizer: str | None = None, window: int = LEN
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 2048):
+            for at in range(0, len(b), 512):
                 out = [[] for _ in range(8)]
-                for r in b.slice(at, 2048).to_pylist():
+                for r in b.slice(at, 512).to_pylist():
                     ids, n = np.frombuffer(r["ids"], "<u2").astype("<u4"), r["n"]
                     cuts = [(k * window, window, sequences + tail + r["whole"] + k, 0) for k in range(r["full"])]
                     start = r["full"] * window
@@ -287,5 +287,5 @@ def packed(documents: DataFrame, tokenizer: str | None = None, window: int = LEN
                 types = [pa.int64()] * 7 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    out = rows.select("key", "doc_id", "ids").join(plan, "key").mapInArrow(pieces, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    out = rows.select("key", "doc_id", "ids").join(plan, "key").mapInArrow(lean(pieces, "ids"), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
     return out if keep_ids else out.drop("ids")

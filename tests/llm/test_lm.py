@@ -1,8 +1,10 @@
 import math
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillspark.llm import lm as L
 
@@ -37,26 +39,76 @@ def test_tail_is_joined(spark, monkeypatch):
 
 
 def test_normalised():
-    rng = np.random.default_rng(0)
-    m = L.Model(40, np.full(40, 1 / 40))
-    m.R, m.Q = rng.normal(0, 1, m.R.shape).astype(np.float32), rng.normal(0, 1, m.Q.shape).astype(np.float32)
-    s1, s2 = m.tables()
-    p = np.exp(s1[:, None, :] + s2[None] - m.log_z()[:, :, None])
-    assert np.allclose(p.sum(2), 1, atol=1e-3)
-
-
-def test_classes_normalised():
     """Blocked scores over classes and their words sum to 1 and are the plain softmaxes."""
     rng = np.random.default_rng(1)
     uni = rng.random(50)
-    m = L.Model(50, uni / uni.sum(), single=8, run=9)
-    m.R, m.Q = rng.normal(0, 1, m.R.shape).astype(np.float32), rng.normal(0, 1, m.Q.shape).astype(np.float32)
-    a, b, w = (x.reshape(-1) for x in np.meshgrid(np.arange(50), [3, 49], np.arange(50), indexing="ij"))
-    lp = m.log_p(*m.projected(), a, b, w)
-    assert np.allclose(np.exp(lp).reshape(50, 2, 50).sum(2), 1, atol=1e-4)
-    s1, s2 = m.tables()
-    alone = w < 8
-    assert np.allclose(lp[alone], (s1[a, np.minimum(w, 7)] + s2[b, np.minimum(w, 7)] - m.log_z()[a, b])[alone], atol=1e-3)
+    for single, run in ((8, 9), (50, 1)):
+        m = L.Model(50, uni / uni.sum(), single=single, run=run)
+        m.R, m.Q, m.C = (rng.normal(0, 1, x.shape).astype(np.float32) for x in (m.R, m.Q, m.C))
+        contexts = rng.integers(0, 50, (40, L.CONTEXT))
+        x, w = np.repeat(contexts, 50, axis=0), np.tile(np.arange(50), 40)
+        lp = m.log_p(x, w).reshape(40, 50)
+        assert np.allclose(np.exp(lp).sum(1), 1, atol=1e-4)
+        h = sum(m.R[contexts[:, k]] * m.C[k] for k in range(L.CONTEXT))
+        z = h @ m.Q[: m.top].T + m.bias[: m.top]
+        z = z - np.log(np.exp(z).sum(1, keepdims=True))
+        assert np.allclose(lp[:, :single], z[:, :single], atol=1e-3)
+
+
+def test_untrained_is_unigram():
+    uni = np.random.default_rng(2).random(50)
+    uni /= uni.sum()
+    m = L.Model(50, uni, single=8, run=9)
+    assert np.allclose(np.exp(m.log_p(np.zeros((50, L.CONTEXT), int), np.arange(50))), uni, atol=1e-4)
+
+
+def test_frequent(spark):
+    """Never more than asked for, never far fewer, the most frequent first; also where all are equally frequent."""
+    rng = random.Random(9)
+    for rows in ([(f"t{i}".encode(), 7) for i in range(3000)], [(f"t{i}".encode(), rng.choice([1, 2, 2, 50, 51, 900])) for i in range(3000)]):
+        df = spark.createDataFrame(rows, "token binary, c bigint")
+        for most in (100, 1000, 5000):
+            got = L.frequent(df, most)
+            assert min(most, 3000) - 5 <= len(got) <= most
+            ranked = sorted((c for _, c in rows), reverse=True)
+            assert [c for _, c in got] == ranked[: len(got)]
+    assert L.frequent(df.limit(0), 5) == []
+
+
+def test_beats_base_on_prose(spark):
+    """Held-out prose in three invented languages: the model's context tells the language, counts don't."""
+    rng = random.Random(11)
+    languages = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(800)] for letters in ("abcdefg", "hijklmn", "opqrstu")]
+    weights = [1 / (k + 3) for k in range(800)]
+    rows = [(i, " ".join(rng.choices(languages[i % 3], weights, k=rng.randint(20, 400))), "x", "s", 0) for i in range(600)]
+    held = [r for r in L.scores(spark.createDataFrame(rows, DOCS)).collect() if r.held_out]
+    assert held and sum(r.score for r in held) > 0.97 * sum(r.base_score for r in held)
+
+
+def test_beats_base_on_the_tables(spark):
+    """On the driver's documents, where they are there."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    held = L.scores(spark.read.parquet(path)).where("held_out").collect()
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_same_in_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 2000)
+    monkeypatch.setattr(L, "PER_WORD", 0)
+    df = spark.createDataFrame(odd_documents(), DOCS)
+    one, other = (sorted((str(r.doc_id), r.score) for r in L.scores(df.repartition(n)).collect()) for n in (1, 5))
+    assert [r[0] for r in one] == [r[0] for r in other]
+    assert np.allclose([r[1] for r in one], [r[1] for r in other], rtol=1e-6)
+
+
+def test_clashing_columns(spark):
+    rows = odd_documents()
+    df = spark.createDataFrame(rows, DOCS)
+    more = df.selectExpr("*", "1 AS score", "2 AS b", "3 AS held_out", "4 AS token", "5 AS shard", "6 AS h", "7 AS c")
+    key = lambda r: (str(r.doc_id), r.base_score)
+    assert [round(r.score, 4) for r in sorted(L.scores(more).collect(), key=key)] == [round(r.score, 4) for r in sorted(L.scores(df).collect(), key=key)]
 
 
 def test_rare_words_told_apart(spark):
