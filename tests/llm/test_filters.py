@@ -1,5 +1,6 @@
 """Language ID, quality, decontamination, sharding."""
 
+import itertools
 import random
 
 import numpy as np
@@ -68,35 +69,49 @@ def test_quality(spark):
 
 
 def overlaps(text, item):
-    """All diagonals: a mask's places agree somewhere, and a stretch of 13 tokens agrees in four fifths."""
+    """All diagonals: some stretch of 13 tokens (all of a shorter item) agrees in four fifths. Knows nothing of masks."""
     t, q = D.tokens((text or "").encode()), D.tokens((item or "").encode())
-    need = min(D.STRETCH, len(q))
+    need = min(13, len(q))
     for d in range(-len(q) + 1, len(t)):
         same = [0 <= d + i < len(t) and t[d + i] == q[i] for i in range(len(q))]
-        inside = [i for i in range(len(q)) if 0 <= d + i < len(t)]
-        hit = any(all(k + o < len(q) and same[k + o] for o in mask) for mask in D._offsets(len(q)) for k in range(len(q)))
-        if hit and any(all(i in inside for i in range(k, k + need)) and sum(same[k : k + need]) >= D.SHARE * need for k in range(len(q) - need + 1)):
-            return True
+        for k in range(max(0, -d), min(len(q), len(t) - d) - need + 1):
+            if need and 5 * sum(same[k : k + need]) >= 4 * need:
+                return True
     return False
 
 
+def test_masks_fit_every_pattern():
+    """Whatever tokens are replaced, as many as four fifths leave, some mask fits between them."""
+    for n, masks in D.MASKS.items():
+        for out in itertools.combinations(range(n), n - -(-4 * n // 5)):
+            assert any(all(m[i] == "0" or s + i not in out for i in range(len(m))) for m in masks for s in range(n - len(m) + 1))
+
+
 def test_decontaminate_brute_force(spark):
     rng = random.Random(8)
-    items = [(k, prose(rng, n)) for k, n in enumerate([3, 8, 14, 30, 40, 40])] + [(90, None), (91, ""), (None, "x y z"), (3, prose(rng, 20))]
+    items = [(k, prose(rng, n)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 20, 30, 40, 40, 60])]
+    items += [(90, None), (91, ""), (None, "x y z"), (3, prose(rng, 20)), (92, items[8][1])]
     rows = odd_documents()[:40]
-    for i in range(500, 560):
-        w = rng.choice(items[:6])[1].split(" ")
-        for _ in range(rng.randint(0, 6)):
+    for i in range(500, 800):
+        w = items[i % 20][1].split(" ")
+        for _ in range(rng.randint(0, max(1, len(w) // 4))):
             w[rng.randrange(len(w))] = "other"
-        rows.append((i, prose(rng, rng.randint(0, 40)) + " " + " ".join(w[rng.randint(0, 5) :]).upper() + ", " + prose(rng, 5), "en", "s", 0))
+        rows.append((i, prose(rng, rng.choice([0, 0, 5, 40])) + " " + " ".join(w[rng.choice([0, 0, 2, 5]) :]).upper() + ", " + prose(rng, rng.choice([0, 5])), "en", "s", 0))
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
-    want = sorted((i if i is not None else -1, sorted({k for k, q in items if k is not None and q and overlaps(t, q)})) for i, t, *_ in rows)
-    for most in (D.BLOCK_SEEDS, 200):
-        got = sorted((r.doc_id if r.doc_id is not None else -1, list(r.item_ids)) for r in D.contaminated(docs, bench, most=most).collect())
-        assert got == want
+    key = lambda r: (r[0] if r[0] is not None else -1, r[1])
+    want = sorted(((i, sorted({k for k, q in items if k is not None and q and overlaps(t, q)})) for i, t, *_ in rows), key=key)
+    both = []
+    for most in (D.SEEDS, 10):
+        got = D.contaminated(docs, bench, most=most).collect()
+        assert sorted(((r.doc_id, list(r.item_ids)) for r in got), key=key) == want
+        assert all(r.contaminated == bool(r.item_ids) and r.n_items == len(r.item_ids) and (r.best_share > 0) == r.contaminated for r in got)
+        both.append(sorted(((r.doc_id, list(r.item_ids), r.best_share) for r in got), key=key))
+        clash = docs.selectExpr("*", "1 AS _hits", "2 AS k", "3 AS item_id", "4 AS part", "5 AS share", "6 AS seed")
+        assert len(D.contaminated(clash.selectExpr("struct(*) AS whole", "text"), bench, ["whole"], most).collect()) == len(rows)
+        assert not any(r.contaminated for r in D.contaminated(docs, bench.limit(0), most=most).collect())
+        assert D.contaminated(docs.limit(0), bench, most=most).collect() == []
+    assert both[0] == both[1]
     assert any(k for _, k in want) and not all(k for _, k in want)
-    assert not any(r.contaminated for r in D.contaminated(docs, bench.limit(0)).collect())
-    assert D.contaminated(docs.limit(0), bench).collect() == []
 
 
 def test_sharding(spark):
