@@ -11,13 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, stored, text_bytes
+from .common import dropped, lean, mixed, stored, text_bytes
 
 LENGTH = 100
 GRAM = 20  # bytes of an anchor
 PIECE = 1 << 20  # bytes of a document looked at together
 HOT = 20_000  # differing contexts of an anchor from which its windows are compared by hash
-TASK_BYTES = 4 << 20
+TASK_BYTES = 1 << 20
+SYMBOLS = 7  # of 9 bits (a byte and one, or an end) in a 64-bit key
 _LAST = 2**63 - 1  # order of a null id
 _POS = np.uint64((1 << 24) - 1)
 
@@ -91,91 +92,123 @@ def _joined(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], high[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def previous_factors(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the starts (ascending, each with length bytes after it) also occur at an earlier one.
+def _ranked(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    out = np.empty(len(key), dtype=np.int32)
+    out[order] = np.cumsum(np.concatenate([[0], key[order[1:]] != key[order[:-1]]]))
+    return out
 
-    Suffixes are sorted to depth length, ties by position. In that order the neighbour with a smaller position,
-    before or after, is the earlier suffix with the longest common beginning; a suffix repeats an earlier one
-    over length bytes if its longest previous factor reaches that depth. Sorting is confined to suffixes whose
-    first length bytes have an equal hash somewhere; the others' factors are shorter.
-    """
-    out = np.zeros(len(starts), dtype=bool)
-    found = []
-    for lo in range(0, len(text) - length + 1, PIECE):
-        own = starts[(starts >= lo) & (starts < lo + PIECE)] - lo
-        found.append(_between(_prefix(text[lo : lo + PIECE + length]), own, own + length))
-    _, back, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    at = np.flatnonzero(times[back] > 1)
-    if not len(at):
-        return out
-    view = np.lib.stride_tricks.sliding_window_view(text, length)
-    suffix = np.ascontiguousarray(view[starts[at]]).view(f"S{length}")[:, 0]
-    order = np.argsort(suffix, kind="stable")
-    rows = view[starts[at][order]]
-    lcp = np.append(0, np.where((rows[1:] == rows[:-1]).all(1), length, 0))
-    # positions ascend among suffixes that agree to this depth: the previous smaller one is the neighbour
-    out[at[order]] = lcp >= length
+
+def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of the suffixes by their first symbols, by prefix doubling: (symbols, ranks) from SYMBOLS up to at least
+    depth, or until all differ. Places behind the text hold symbol 0."""
+    n, key = len(text), np.zeros(len(text), dtype=np.uint64)
+    for i in range(SYMBOLS):
+        key <<= np.uint64(9)
+        key[: max(0, n - i)] |= text[i:].astype(np.uint64)
+    width, rank = SYMBOLS, _ranked(key)
+    out = [(width, rank)]
+    while width < depth and rank.max(initial=0) < n - 1:
+        key = (rank.astype(np.int64) + 1) << 32
+        key[: max(0, n - width)] |= rank[width:] + 1
+        width, rank = 2 * width, _ranked(key)
+        out.append((width, rank))
     return out
 
 
-class _Rows:
-    """Columns of anchor rows and of spans found locally."""
+def common_lengths(text: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at a and b share: whole strides by their ranks, then symbol by symbol."""
+    n, out = len(text), np.zeros(len(a), dtype=np.int64)
+    strides = [*reversed(ranks), *[(1, text)] * (SYMBOLS - 1)]
+    for k, (width, rank) in enumerate(strides):
+        again = True
+        while again:
+            i, j = a + out, b + out
+            same = np.flatnonzero((i < n) & (j < n))
+            same = same[rank[i[same]] == rank[j[same]]]
+            out[same] = np.minimum(out[same] + width, n - np.maximum(a[same], b[same]))
+            again = k == 0 and len(same) > 0  # only the widest stride can fit more than once
+    return out
+
 
-    NAMES = ("h", "seg", "ord", "th", "pos", "first", "last", "known")
-    SCHEMA = "h bigint, seg bigint, ord bigint, th bigint, pos bigint, first bigint, last bigint, known boolean"
+def smaller_before(pos: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a suffix order the nearest one before it with a smaller position (-1: none), and the least
+    common length up to there. lcp: with the place before. All places follow the pointers of those that they point to."""
+    to, low = np.arange(len(pos)) - 1, lcp.copy()
+    open_ = np.flatnonzero(to >= 0)
+    while len(open_):
+        open_ = open_[pos[to[open_]] > pos[open_]]
+        via = to[open_]
+        low[open_] = np.minimum(low[open_], low[via])
+        to[open_] = to[via]
+        open_ = open_[to[open_] >= 0]
+    low[to < 0] = 0
+    return to, low
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, *cols) -> None:
-        n = max(len(c) for c in cols if isinstance(c, np.ndarray))
-        self.parts.append(tuple(np.broadcast_to(c, n) for c in cols))
+def previous_factors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array at the starts (ascending): how many symbols from there, up to its end, also
+    occur from an earlier start. text: bytes and one, with 0 behind each part.
 
-    def batch(self) -> pa.RecordBatch:
-        cols = [np.concatenate(x) for x in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, np.int64)] * 7 + [np.zeros(0, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=list(self.NAMES))
+    In suffix order the earlier suffixes that share most are the nearest ones, before and after, with smaller positions.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    ranks = suffix_ranks(text, int((ends - starts).max()) + 1)
+    order = np.lexsort((starts, ranks[-1][1][starts]))
+    pos = starts[order]
+    lcp = np.concatenate([[0], common_lengths(text, ranks, pos[:-1], pos[1:])])
+    before = smaller_before(pos, lcp)[1]
+    after = smaller_before(pos[::-1], np.concatenate([[0], lcp[:0:-1]]))[1][::-1]
+    out = np.empty(len(starts), dtype=np.int64)
+    out[order] = np.maximum(before, after)
+    return np.minimum(out, ends - starts)
+
+
+_CONTEXTS = "h bigint, seg bigint, ord bigint, th bigint, first bigint, n bigint"  # n: windows; negative where known to repeat
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor rows of a task's documents. Within a batch only the first of equal contexts goes on; the windows of
+    """Contexts of a task's documents. Of a slice only the first of equal contexts goes on; the windows of
     the others are known to repeat, so a passage that many documents share leaves few rows."""
     for b in batches:
         order, th = b.column("ord").to_numpy(), b.column("th").to_numpy()
-        text, rows, seen, size = b.column("b"), _Rows(), set(), 0
+        text, seen = b.column("b"), set()
         held: list[tuple] = []
 
-        def out(held=held, rows=rows) -> None:
-            h, pos, first, last, seg = (np.concatenate(x) for x in zip(*(r[2:] for r in held), strict=True))
+        def out(held=held) -> pa.RecordBatch:
+            h, first, last, seg = (np.concatenate(x) for x in zip(*(r[2:] for r in held), strict=True))
             o, t = (np.repeat(np.array([r[i] for r in held], dtype=np.int64), [len(r[2]) for r in held]) for i in (0, 1))
-            _, one = np.unique(h ^ mixed(seg), return_index=True)
-            new = np.zeros(len(h), dtype=bool)
-            new[one] = True  # the first in order: np.unique gives the first index
-            rows.add(h[new], seg[new], o[new], t[new], pos[new], first[new], last[new], False)
-            again = np.flatnonzero(~new)
-            if len(again):
-                doc = np.flatnonzero(np.concatenate([[True], (o[again][1:] != o[again][:-1]) | (t[again][1:] != t[again][:-1])]))
-                for k in np.split(again, doc[1:]):
-                    spans = _joined(np.stack([first[k], last[k] + LENGTH], 1))
-                    rows.add(mixed(spans[:, 0].astype(np.uint64) + np.uint64(int(t[k[0]]) & _MASK)), np.uint64(0), o[k[0]], t[k[0]], spans[:, 0], spans[:, 0], spans[:, 1] - LENGTH, True)
             held.clear()
-
+            one = np.argsort(h ^ mixed(seg), kind="stable")  # of equal ones the first in order comes first
+            new = np.ones(len(h), dtype=bool)
+            new[one[1:]] = (h[one[1:]] != h[one[:-1]]) | (seg[one[1:]] != seg[one[:-1]])
+            cols = [[h[new], seg[new], o[new], t[new], first[new], last[new] - first[new] + 1]]
+            again = np.flatnonzero(~new)
+            cuts = np.flatnonzero((o[again][1:] != o[again][:-1]) | (t[again][1:] != t[again][:-1])) + 1
+            for k in np.split(again, cuts) if len(again) else ():
+                spans = _joined(np.stack([first[k], last[k] + LENGTH], 1))
+                n = len(spans)
+                place = mixed(spans[:, 0].astype(np.uint64) + np.uint64(int(t[k[0]]) & _MASK))
+                cols.append([place, np.zeros(n, np.uint64), np.full(n, o[k[0]]), np.full(n, t[k[0]]), spans[:, 0], spans[:, 0] + LENGTH - 1 - spans[:, 1]])
+            whole = [np.concatenate(c) for c in zip(*cols, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in whole], names=["h", "seg", "ord", "th", "first", "n"])
+
+        size = 0
         for i in np.lexsort((th, order)):
             key = (int(order[i]), int(th[i]))
             if key in seen:  # a repeated row is the same document
                 continue
             seen.add(key)
             for start, data in pieces(text[int(i)].as_py()):
-                h, pos, first, last, seg = anchors(data)
-                held.append((*key, h, pos + start, first + start, last + start, seg))
+                h, _, first, last, seg = anchors(data)
+                held.append((*key, h, first + start, last + start, seg))
                 size += len(h)
-            if size > 1_000_000:
-                out()
-                yield rows.batch()
-                rows.parts.clear()
-                size = 0
+                if size > 300_000:
+                    yield out()
+                    size = 0
         if held:
-            out()
-        yield rows.batch()
+            yield out()
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +219,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = b.column("b")[i].as_py()
             o, t = b.column("ord")[i].as_py(), b.column("th")[i].as_py()
             for s in b.column("open")[i].as_py():
-                data = text[s["first"] : s["last"] + LENGTH]
+                data = text[s["first"] : s["first"] + s["n"] - 1 + LENGTH]
                 if s["hot"]:
                     windows = [xxhash.xxh3_128_digest(data[k : k + LENGTH]) for k in range(len(data) - LENGTH + 1)]
                     rows = [(None, s["first"] + k, None, w) for k, w in enumerate(windows)]
@@ -202,18 +235,19 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _factored(t: pa.Table) -> pa.Table:
     """Repeats among the contexts of a task: they follow each other in the documents' order, and the
     longest-previous-factor array tells which windows repeat an earlier one. No window crosses two contexts."""
-    h, o, th, start = (t.column(n).to_numpy() for n in ("h", "ord", "th", "start"))
+    o, th, start = (t.column(n).to_numpy() for n in ("ord", "th", "start"))
     order = np.lexsort((start, th, o))
     # repeated rows of a document give the same context once more
     order = order[np.concatenate([[True], (np.diff(o[order]) != 0) | (np.diff(th[order]) != 0) | (np.diff(start[order]) != 0)])]
     parts = [t.column("bytes")[int(i)].as_py() for i in order]
-    text = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(p) for p in parts])
-    begin = np.cumsum(size) - size
+    end = np.cumsum(size + 1) - 1
+    text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.uint16) + 1
+    text[end] = 0
     runs = size - LENGTH + 1
     owner = np.repeat(np.arange(len(parts)), runs)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-    again = previous_factors(text, begin[owner] + within)
+    again = previous_factors(text, (end - size)[owner] + within, end[owner]) >= LENGTH
     own, at = owner[again], within[again]
     o, th, lo = o[order][own], th[order][own], start[order][own] + at
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
@@ -247,23 +281,24 @@ def repeats_removed(documents: DataFrame, hot: int = HOT, keep_bytes: bool = Fal
 
     A byte goes if it lies in a 100-byte string that also starts earlier. Documents come in the order of their
     id, a null id last; rows that share an id come in the order of their text's hash, and rows that share id and
-    text are one document, each row with its result. Windows meet by their anchor: a context (all windows of one
-    anchor) that occurred before repeats as a whole; contexts that differ but share an anchor are compared window
-    by window, in tasks of bounded size; an anchor with more than `hot` differing contexts by the windows'
-    128-bit hashes, summed before they are shuffled. A null text is empty. Other columns are not read; an empty
-    table gives no rows.
+    text are one document, each row with its result. Windows meet by their anchor; all windows of one anchor are a
+    context. Equal contexts (by 128 bits of hashes) are one text, its first occurrence: the others repeat it as a whole.
+    Contexts that differ but share an anchor go to a task of bounded size, where the longest-previous-factor array
+    of all their suffixes tells which windows repeat an earlier one. Of an anchor with more than `hot` differing
+    contexts each window is a context by itself, so that no anchor's rows need to meet in one task. A null text is
+    empty. Other columns are not read; an empty table gives no rows.
     """
     docs = documents.select("doc_id", _order().alias("ord"), text_bytes().alias("b")).withColumn("th", F.xxhash64("b"))
-    rows = docs.select("ord", "th", "b").mapInArrow(_anchored, _Rows.SCHEMA)
-    context = Window.partitionBy("h", "seg").orderBy("ord", "th", "pos")
-    # copies of one row never differ in order: the least of (ord, th, pos) is the first occurrence
-    before = rows.repartition("h").withColumn("rank", F.dense_rank().over(context))
-    before = before.withColumn("contexts", F.sum((F.col("rank") == 1).cast("int")).over(Window.partitionBy("h")))
-    seen = before.where("known or rank > 1 or contexts > 1").select("h", "ord", "th", "first", "last", (F.col("known") | (F.col("rank") > 1)).alias("again"), (F.col("contexts") > hot).alias("hot"))
-    seen = stored(seen, "anchors")
-    again = seen.where("again").select("ord", "th", F.col("first").alias("lo"), (F.col("last") + LENGTH).alias("hi"))
-    opened = seen.where("not again").groupBy("ord", "th").agg(F.collect_set(F.struct("h", "first", "last", "hot")).alias("open"))
-    contexts = stored(docs.select("ord", "th", "b").join(opened, ["ord", "th"]).mapInArrow(_opened, "h bigint, ord bigint, th bigint, start bigint, bytes binary, window binary"), "contexts")
+    rows = docs.select("ord", "th", "b").mapInArrow(lean(_anchored, "b"), _CONTEXTS)
+    # copies of one row never differ in order: the least of (ord, th, first) is the first occurrence. A slice sends a context once
+    rank = F.dense_rank().over(Window.partitionBy("h", "seg").orderBy("ord", "th", "first"))
+    ranked = stored(rows.withColumn("again", (F.col("n") < 0) | (rank > 1)).select("h", "ord", "th", "first", F.abs("n").alias("n"), "again"), "contexts")
+    again = ranked.where("again").select("ord", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("hi"))
+    own = ranked.where("not again").drop("again")
+    # a row that stands twice has its contexts twice, which costs a comparison but changes nothing
+    shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("h", (F.col("contexts") > hot).alias("hot"))
+    opened = own.join(shared, "h").groupBy("ord", "th").agg(F.collect_set(F.struct("h", "first", "n", "hot")).alias("open"))
+    contexts = stored(docs.select("ord", "th", "b").join(opened, ["ord", "th"]).mapInArrow(lean(_opened, "b"), "h bigint, ord bigint, th bigint, start bigint, bytes binary, window binary"), "opened")
     total = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     tasks = total // TASK_BYTES + 1
     cold = contexts.where("window is null").withColumn("task", F.pmod(F.xxhash64("h"), F.lit(tasks)))
@@ -271,7 +306,12 @@ def repeats_removed(documents: DataFrame, hot: int = HOT, keep_bytes: bool = Fal
     windows = contexts.where("window is not null").select("window", "ord", "th", "start")
     first = windows.groupBy("window").agg(F.min(F.struct("ord", "th", "start")).alias("least"))
     late = windows.join(first, "window").where(F.struct("ord", "th", "start") > F.col("least")).select("ord", "th", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
+    # neighbouring windows are one span before they are shuffled by document
+    late = late.withColumn("run", F.col("lo") - F.row_number().over(Window.partitionBy("ord", "th").orderBy("lo"))).groupBy("ord", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
     spans = again.unionByName(found).unionByName(late).groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = stored(spans, "spans")
+    for t in (ranked, contexts):
+        dropped(t)
     out = docs.join(spans, ["ord", "th"], "left").select("doc_id", "b", "spans")
-    out = out.mapInArrow(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = out.mapInArrow(lean(_removed, "b"), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")

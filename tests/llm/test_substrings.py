@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.llm import substrings as S
@@ -43,6 +44,53 @@ def test_brute_force(spark, hot):
     assert got == brute(rows)
 
 
+def factors(parts):
+    """Text with ends, all starts, their ends, and by comparison of all pairs the longest previous factor."""
+    text = np.array([x for p in parts for x in [*(b + 1 for b in p), 0]], dtype=np.uint16)
+    starts, ends, at = [], [], 0
+    for p in parts:
+        starts += range(at, at + len(p))
+        ends += [at + len(p)] * len(p)
+        at += len(p) + 1
+    best = []
+    for i, e in zip(starts, ends):
+        most = 0
+        for j, f in zip(starts, ends):
+            if j < i:
+                k = 0
+                while i + k < e and j + k < f and text[i + k] == text[j + k]:
+                    k += 1
+                most = max(most, k)
+        best.append(most)
+    return text, np.array(starts), np.array(ends), best
+
+
+@pytest.mark.parametrize("parts", [
+    [b"a" * 60, b"a" * 31], [b"ab" * 30, b"ba" * 12, b"b"], [b"abc" * 20 + b"abd" * 20], [b"\0" * 40, b"\xff\0" * 20, b"\0"], [b"x"], [b"abracadabra", b"abracadabra", b"cadabrac", b"zz"],
+])
+def test_previous_factors_of_periodic_texts(parts):
+    text, starts, ends, best = factors(parts)
+    assert S.previous_factors(text, starts, ends).tolist() == best
+
+
+def test_previous_factors_of_random_texts():
+    rng = random.Random(5)
+    for _ in range(60):
+        parts = [bytes(rng.choice(b"ab" if rng.random() < 0.9 else b"abc") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 6))]
+        text, starts, ends, best = factors(parts)
+        assert S.previous_factors(text, starts, ends).tolist() == best
+        ranks = S.suffix_ranks(text, len(text))
+        order = np.argsort(ranks[-1][1], kind="stable")
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        lcp = S.common_lengths(text, ranks, order[:-1], order[1:]).tolist()
+        for a, b, n in zip(order, order[1:], lcp):
+            assert (text[a : a + n] == text[b : b + n]).all() and (max(a, b) + n == len(text) or text[a + n] != text[b + n])
+        to, low = S.smaller_before(order, np.array([0, *lcp]))
+        for k, t in enumerate(to):
+            smaller = [i for i in range(k) if order[i] < order[k]]
+            assert t == max(smaller, default=-1) and low[k] == (min(lcp[t:k]) if smaller else 0)
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 300)
     rows = documents()
