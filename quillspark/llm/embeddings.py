@@ -8,16 +8,19 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, lean, stored
 from .components import components
 
-TILE = 1024
-CELL_DIMS = 2
+TILE = 4096
+ROWS = 512  # of a tile compared at a time
+CELL_DIMS = 4  # at most
+COPY = 200  # comparisons that a further copy of a row is worth
 LEAD = (8, 24)  # leading dimensions after which pairs are bounded
-SLACK = 1e-9
+SLACK = 1e-4  # leading products are in single precision
 
 
 def comparable(vector: str, label: str, key: str) -> Column:
@@ -26,15 +29,20 @@ def comparable(vector: str, label: str, key: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of one length, as they are and scaled to length 1, in double precision."""
-    x = np.array(lists.to_pylist(), dtype=np.float64)
+def _rows(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors of one length in double precision."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return np.asarray(lists.flatten(), dtype=np.float64).reshape(-1, width)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Scaled to length 1, by the largest component first, so that squares neither overflow nor vanish."""
     y = x / np.abs(x).max(1, keepdims=True)
-    return x, y / np.sqrt((y * y).sum(1, keepdims=True))
+    return y / np.sqrt((y * y).sum(1, keepdims=True))
 
 
 def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    n = np.array([len(x) for x in column.to_pylist()], dtype=np.int64)
+    n = pc.list_value_length(column).to_numpy()
     for d in np.unique(n):
         yield int(d), np.flatnonzero(n == d)
 
@@ -46,12 +54,12 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for d, rows in _by_length(b.column(0)):
-                u = np.hstack([_unit(b.column(0).take(pa.array(rows)))[1], np.ones((len(rows), 1))])
+                u = np.hstack([_unit(_rows(b.column(0).take(pa.array(rows)), d)), np.ones((len(rows), 1))])
                 total[d] = total.get(d, 0) + u.T @ u
         for d, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, d)), pa.array(np.arange(m.size)), pa.array(m.reshape(-1))], names=["d", "i", "v"])
 
-    sums = vectors.select("v").mapInArrow(moments, "d bigint, i bigint, v double").groupBy("d", "i").agg(F.sum("v").alias("v"))
+    sums = vectors.select("v").mapInArrow(lean(moments, None), "d bigint, i bigint, v double").groupBy("d", "i").agg(F.sum("v").alias("v"))
     got: dict[int, dict[int, float]] = {}
     for r in sums.collect():  # (length + 1) squared numbers for each length
         got.setdefault(r.d, {})[r.i] = r.v
@@ -63,16 +71,18 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _cells(lead: np.ndarray, near: float) -> list[list[tuple[tuple[int, ...], bool]]]:
-    """For each row its cell, and the neighbouring cells closer than near: (cell, whether it is its own)."""
-    width = 2 * near
-    own = np.floor(lead / width).astype(int)
+def _cells(lead: np.ndarray, near: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows, their cells over the columns of lead, and whether these are their own: each row's own cell, and the
+    neighbouring cells closer than near. A cell's number has 15 bits for each axis."""
+    width = max(2 * near, 1e-3)
+    own = np.floor(lead / width).astype(np.int64)
     inside = lead - own * width
-    out = []
-    for c, r in zip(own.tolist(), inside.tolist(), strict=True):
-        near_by = [[k, *([k - 1] if x <= near else []), *([k + 1] if width - x <= near else [])] for k, x in zip(c, r, strict=True)]
-        out.append([(p, list(p) == c) for p in product(*near_by)])
-    return out
+    for move in product((0, -1, 1), repeat=lead.shape[1]):
+        m = np.array(move, dtype=np.int64)
+        rows = np.flatnonzero((((m == 0) | ((m < 0) & (inside <= near)) | ((m > 0) & (width - inside <= near)))).all(1))
+        if len(rows):
+            at = own[rows] + m + (1 << 14)
+            yield rows, (at << (15 * np.arange(lead.shape[1]))).sum(1), not m.any()
 
 
 def links(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, least: float) -> np.ndarray:
@@ -84,11 +94,11 @@ def links(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, least: f
     """
     out = np.zeros((len(x), len(y)), dtype=bool)
     rows, cols = np.arange(len(x)), np.arange(len(y))
-    got, start = 0.0, 0
-    for stop in (*[k for k in LEAD if k < x.shape[1]],):
+    got, start = np.float32(0), 0
+    for stop in [k for k in LEAD if k < x.shape[1]]:
         got = got + ux[rows, start:stop] @ uy[cols, start:stop].T
         left, right = (np.sqrt((u[:, stop:] ** 2).sum(1)) for u in (ux[rows], uy[cols]))
-        open_ = got + np.outer(left, right) >= least - SLACK
+        open_ = got + np.outer(left, right) >= np.float32(least - SLACK)
         r, c = open_.any(1), open_.any(0)
         rows, cols, got, start = rows[r], cols[c], got[np.ix_(r, c)], stop
         if not len(rows):
@@ -124,7 +134,8 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     by links), kept (key = component_id).
 
     Equal vectors of a label are one node with a weight. Cells over the first principal axes hold their own
-    nodes and those near their border; a cell is compared tile by tile, a task holds two tiles, and gives
+    nodes and those near their border; a label has as many axes as save comparisons, none where vectors spread over all
+    axes alike. A cell is compared tile by tile, each two tiles once; a task holds two tiles and gives
     counts and the edges of a forest, never pairs. Vectors that are null, zero, empty, or hold a null or
     non-finite component, and rows with a null label, link with nothing; vectors of different lengths neither.
     A null key links with nothing: component_id is null and kept true. Rows that share a key are one node,
@@ -132,63 +143,73 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     """
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(label).alias("g"))
     rows = rows.withColumn("ok", comparable("v", "g", "id"))
-    nodes = stored(rows.where("ok").groupBy("g", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size")), "vectors")
+    nodes = stored(rows.where("ok").groupBy("g", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size")).withColumn("d", F.size("v")), "vectors")
+    nodes = nodes.withColumn("at", F.monotonically_increasing_id())
     sent = df.sparkSession.sparkContext.broadcast(axes(nodes))
     near = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    kinds = dict(nodes.dtypes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each label: how many rows a cell owns and holds, by the number of axes."""
+        for b in batches:
+            for d, rows in _by_length(b.column("v")):
+                part = b.take(pa.array(rows))
+                lead = _unit(_rows(part.column("v"), d)) @ sent.value[d][:, :CELL_DIMS]
+                for k in range(lead.shape[1] + 1):
+                    for i, cell, mine in _cells(lead[:, :k], near):
+                        n = len(i)
+                        t = pa.table({"g": part.column("g").take(pa.array(i)), "d": np.full(n, d, np.int32), "k": np.full(n, k, np.int32), "cell": cell, "own": np.full(n, int(mine)), "every": np.ones(n, np.int64)})
+                        t = t.group_by(["g", "d", "k", "cell"]).aggregate([("own", "sum"), ("every", "sum")]).select(["g", "d", "k", "cell", "own_sum", "every_sum"])
+                        yield from t.rename_columns(["g", "d", "k", "cell", "own", "every"]).combine_chunks().to_batches()
+
+    counts = nodes.select("g", "v").mapInArrow(lean(count, None), f"g {kinds['g']}, d int, k int, cell bigint, own bigint, every bigint")
+    counts = counts.groupBy("g", "d", "k", "cell").agg(F.sum("own").alias("own"), F.sum("every").alias("every"))
+    costs = counts.groupBy("g", "d", "k").agg((F.sum(F.col("every").cast("double") * F.col("every")) / 2 + COPY * F.sum("every")).alias("cost"))
+    best = costs.groupBy("g", "d").agg(F.min_by("k", F.struct("cost", "k")).alias("k"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, cell, own = [], [], []
-            groups = b.column("g").to_pylist()
-            for d, at in _by_length(b.column("v")):
-                lead = _unit(b.column("v").take(pa.array(at)))[1] @ sent.value[d][:, :CELL_DIMS]
-                for i, cells in zip(at.tolist(), _cells(lead, near), strict=True):
-                    for c, mine in cells:
-                        take.append(i)
-                        cell.append(f"{groups[i]}|{d}|{c}")
-                        own.append(mine)
-            t = b.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(own, pa.bool_()), t.column("node"), t.column("size"), t.column("v")], names=["cell", "own", "node", "size", "v"])
-
-    kind = dict(rows.dtypes)["v"]
-    placed = stored(nodes.mapInArrow(place, f"cell string, own boolean, node bigint, size bigint, v {kind}"), "cells")
-    tiles = placed.groupBy("cell").agg(F.ceil(F.sum(F.col("own").cast("int")) / tile).cast("int").alias("nx"), F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("ny"))
-    both = placed.join(tiles.where("nx > 0"), "cell").withColumn("h", F.xxhash64("node", "v"))
-    x = both.where("own").select("cell", F.expr("cast(pmod(h, nx) as int)").alias("i"), F.explode(F.expr("sequence(0, ny - 1)")).alias("j"), F.lit(True).alias("left"), "node", "size", "v")
-    y = both.select("cell", F.explode(F.expr("sequence(0, nx - 1)")).alias("i"), F.expr("cast(pmod(h, ny) as int)").alias("j"), F.lit(False).alias("left"), "node", "size", "v")
+            d, k = (b.column(n).to_numpy() for n in ("d", "k"))
+            for width, dims in sorted(set(zip(d.tolist(), k.tolist(), strict=True))):
+                part = b.take(pa.array(np.flatnonzero((d == width) & (k == dims))))
+                lead = _unit(_rows(part.column("v"), width)) @ sent.value[width][:, :dims]
+                for i, cell, mine in _cells(lead, near):
+                    t = part.take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays([t.column("g"), t.column("d"), pa.array(cell), pa.array(np.full(len(i), mine)), *(t.column(n) for n in ("at", "node", "size", "v"))], names=["g", "d", "cell", "own", "at", "node", "size", "v"])
+
+    placed = nodes.join(best, ["g", "d"]).select("g", "d", "k", "at", "node", "size", "v")
+    placed = stored(placed.mapInArrow(lean(place, None), f"g {kinds['g']}, d int, cell bigint, own boolean, at bigint, node bigint, size bigint, v {kinds['v']}"), "cells")
+    tiles = placed.groupBy("g", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("nt"), F.max("own").alias("some")).where("some").drop("some")
+    both = placed.join(tiles, ["g", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("at"), F.col("nt")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nt - 1)")))
+    both = both.select("g", "d", "cell", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "own", "at", "node", "size", "v")
 
     def compare(t: pa.Table) -> pa.Table:
-        left = t.column("left").to_numpy(zero_copy_only=False)
-        out = ([], [], [], [])
-        if left.any() and not left.all():
-            node, size = t.column("node").to_numpy(), t.column("size").to_numpy()
-            v, u = _unit(t.column("v"))
-            p = u @ sent.value[v.shape[1]]
-            a, b = np.flatnonzero(left), np.flatnonzero(~left)
-            hit = links(v[a], v[b], p[a], p[b], least)
-            same = node[a][:, None] == node[b][None]  # the node itself; rows that share a key but differ still count
-            if same.any():
-                for i, j in np.argwhere(same):
-                    if hit[i, j] and (v[a[i]] == v[b[j]]).all():
-                        hit[i, j] = False
-            n = hit @ size[b]
-            for i in np.flatnonzero(n):
-                out[0].append(False)
-                out[1].append(int(node[a[i]]))
-                out[2].append(int(n[i]))
-                out[3].append(v[a[i]].tolist())
-            for c, d in _forest(hit, node[a], node[b]):
-                out[0].append(True)
-                out[1].append(c)
-                out[2].append(d)
-                out[3].append(None)
-        return pa.table([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], t.column("v").type)], names=["edge", "a", "b", "v"])
-
-    found = stored(x.unionByName(y).groupBy("cell", "i", "j").applyInArrow(compare, f"edge boolean, a bigint, b bigint, v {kind}"), "tiles")
-    counts = found.where("not edge").groupBy(F.col("a").alias("node"), "v").agg(F.sum("b").alias("n"))
+        i, j, d = (t.column(n)[0].as_py() for n in ("i", "j", "d"))
+        tiles, at, node, size = (t.column(n).to_numpy() for n in ("tile", "at", "node", "size"))
+        own = t.column("own").to_numpy(zero_copy_only=False)
+        v = _rows(t.column("v"), d)
+        p = (_unit(v) @ sent.value[d]).astype(np.float32)
+        a, b = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
+        n, edges = np.zeros(len(at), dtype=np.int64), []
+        for lo in range(0, len(a), ROWS):
+            x = a[lo : lo + ROWS]
+            hit = links(v[x], v[b], p[x], p[b], least)
+            if i == j:  # each two rows once, and none with itself
+                hit &= b[None] > x[:, None]
+            if hit.any():
+                n[x] += hit @ size[b]
+                n[b] += size[x] @ hit
+                edges += _forest(hit, node[x], node[b])
+        seen = np.flatnonzero((n > 0) & own)
+        cols = [[False] * len(seen) + [True] * len(edges), [*at[seen].tolist(), *(e[0] for e in edges)], [*n[seen].tolist(), *(e[1] for e in edges)]]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["edge", "a", "b"])
+
+    found = stored(both.groupBy("g", "d", "cell", "i", "j").applyInArrow(compare, "edge boolean, a bigint, b bigint"), "tiles")
+    counts = found.where("not edge").groupBy(F.col("a").alias("at")).agg(F.sum("b").alias("n"))
     joined = components(found.where("edge").select("a", "b"))
-    classes = nodes.join(counts, ["node", "v"], "left").join(joined, "node", "left")
+    classes = nodes.join(counts, "at", "left").join(joined, "node", "left")
     classes = classes.select("g", "v", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"))
+    dropped(placed)
     out = rows.where("ok").join(classes, ["g", "v"]).select("id", "n", "component")
     rest = rows.where("not ok").select("id", F.lit(0).cast("bigint").alias("n"), F.col("id").alias("component"))
     out = out.unionByName(rest)

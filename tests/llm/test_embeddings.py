@@ -39,8 +39,9 @@ def brute(data):
     return n, union_find([r[0] for r in data], links)
 
 
-@pytest.mark.parametrize("tile", [E.TILE, 16])
-def test_brute_force(spark, tile):
+@pytest.mark.parametrize("tile,copy", [(E.TILE, E.COPY), (16, E.COPY), (E.TILE, 0), (16, 0)])
+def test_brute_force(spark, monkeypatch, tile, copy):
+    monkeypatch.setattr(E, "COPY", copy)  # 0: as many axes as ever help
     data = rows()
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int").repartition(3)
     n, c = brute(data)
@@ -48,6 +49,22 @@ def test_brute_force(spark, tile):
         assert (r.n_links, r.component_id, r.kept) == (n[r.vec_id], c[r.vec_id], c[r.vec_id] == r.vec_id), r
 
 
+def test_cells_hold_every_near_pair():
+    """Each two rows closer than near meet in the cell of either one, once."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.2, (300, 3))
+    for k in range(4):
+        own, every = {}, {}
+        for rows_, cells, mine in E._cells(x[:, :k], 0.1):
+            for r, c in zip(rows_.tolist(), cells.tolist()):
+                every.setdefault(c, []).append(r)
+                if mine:
+                    own[r] = c
+        assert len(own) == 300 and all(len(v) == len(set(v)) for v in every.values())
+        for a in range(300):
+            assert set(np.flatnonzero(np.sqrt(((x[:, :k] - x[a, :k]) ** 2).sum(1)) < 0.1)) <= set(every[own[a]])
+
+
 def test_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 5, 6), (None, [1.0, 0.0], 1, 5, 6)], "vec_id bigint, embedding array<float>, label int, node int, n int")
     assert sorted(tuple(r) for r in E.near_vectors(df).collect() if r.vec_id) == [(1, 0, 1, True)]
