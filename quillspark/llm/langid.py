@@ -11,32 +11,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, text_bytes
+from .common import fold, lean, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
-PER_LANG = 600  # labelled rows of each language that the fit may take
-SPREAD = 4
+STRIDE = WINDOW - max(WIDTHS) + 1  # windows share what a filter may need from both
+SAMPLE_BYTES = 3 << 20  # of labelled texts that the fit may take, shared alike by all languages
 SLOTS = 1 << 30
-LANGS = 200  # languages that the fit may take, the most frequent first
 UNKNOWN = "und"
 _ASCII = re.compile(rb"[A-Za-z]")
 
 
 def windows(text: bytes) -> np.ndarray:
-    """The whole text as rows of WINDOW bytes, the last one padded with zeros."""
-    n = max(1, -(-len(text) // WINDOW))
-    return np.frombuffer(text.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
+    """The whole text as rows of WINDOW bytes, the last one padded with zeros. Every run of bytes that a filter
+    spans lies in one of them."""
+    n = 1 + max(0, -(-(len(text) - WINDOW) // STRIDE))
+    data = np.frombuffer(text.ljust((n - 1) * STRIDE + WINDOW, b"\0"), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(data, WINDOW)[::STRIDE]
 
 
 def has_letter(text: bytes) -> bool:
     return bool(_ASCII.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-def fit(texts: list[bytes], langs: list[str], seed: int = 3, epochs: int = 8) -> dict:
-    """Embedding, filters of several widths, ReLU with max pooling, softmax; Adam on cross entropy."""
+def fit(texts: list[bytes], langs: list[str], seed: int = 3, epochs: int = 6, least_steps: int = 800) -> dict:
+    """Embedding, filters of several widths, ReLU with max pooling, softmax; Adam on cross entropy. Few windows are gone
+    over more often than `epochs` times."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.3, (256, EMBED))
@@ -51,8 +53,9 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 3, epochs: int = 8) ->
     if len(names) > 1:
         x, y = np.array(x), np.array(y)
         m, v, t = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
-        for _ in range(epochs):
-            for ids in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+        parts = max(1, len(x) // 64)
+        for _ in range(max(epochs, -(-least_steps // parts))):
+            for ids in np.array_split(rng.permutation(len(x)), parts):
                 t += 1
                 for k, g in _gradient(p, x[ids], y[ids]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -158,25 +161,23 @@ class Predictor:
         return lang, score
 
 
-def train(documents: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> dict:
-    """Learns from text and lang of documents outside the held-out fold: of each of at most `langs` languages,
-    at most `per_lang` rows, those with the least hash of their id, and of each row up to SPREAD windows, evenly
-    spread over the whole text. Null ids, texts and langs give nothing."""
-    rows = documents.select("doc_id", "text", "lang").where(
+def train(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """Learns from text and lang of documents outside the held-out fold: of every language the rows with the least
+    hashes of their id, whole, as long as their texts fit into its share of sample_bytes (one row at least). Null ids,
+    texts and langs give nothing; of rows that share an id each counts."""
+    rows = documents.select("doc_id", "lang", F.col("text").cast("binary").alias("b")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold("doc_id", 5, 0) & F.col("text").rlike(r"\p{L}")
     )
-    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
-    # about four times the rows wanted pass by their hash; of these the least hashes are taken
+    seen = rows.groupBy("lang").agg(F.sum(F.octet_length("b")).alias("n"), F.count(F.lit(1)).alias("k")).collect()
+    share = sample_bytes / max(1, len(seen))
+    # about four times what is wanted passes by its hash, sixteen rows at least; of these the least hashes are taken
     h = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    cuts = documents.sparkSession.createDataFrame([(r.lang, math.ceil(SLOTS * min(1.0, 4 * per_lang / r.n))) for r in seen], "lang string, cut bigint")
-    last = F.expr(f"(octet_length(b) - 1) div {WINDOW}")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.substring("b", (F.floor(i * last / (SPREAD - 1)) * WINDOW + 1).cast("int"), F.lit(WINDOW)))
-    few = rows.withColumn("h", h).join(F.broadcast(cuts), "lang").where("h < cut").withColumn("b", F.col("text").cast("binary"))
-    few = few.select("lang", "h", "doc_id", F.array_distinct(spread).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))
-    got = [(r.h, bytes(t), r.lang) for r in few.withColumn("k", rank).where(F.col("k") <= per_lang).collect() for t in r.t]
-    got.sort()
-    return fit([r[1] for r in got], [r[2] for r in got])
+    cuts = documents.sparkSession.createDataFrame([(r.lang, math.ceil(SLOTS * min(1.0, max(4 * share / r.n, 16 / r.k)))) for r in seen], "lang string, cut bigint")
+    few = rows.withColumn("h", h).join(F.broadcast(cuts), "lang").where("h < cut")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("b"))
+    few = few.withColumn("sum", F.sum(F.octet_length("b")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
+    got = sorted((r.lang, r.h, bytes(r.b)) for r in few.where((F.col("sum") <= share) | (F.col("n") == 1)).select("lang", "h", "b").collect())
+    return fit([r[2] for r in got], [r[0] for r in got])
 
 
 def predicted_language(documents: DataFrame, model: dict) -> DataFrame:
@@ -194,4 +195,4 @@ def predicted_language(documents: DataFrame, model: dict) -> DataFrame:
             lang, score = net(b.column("_bytes").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(predict, "_bytes"), "doc_id bigint, held_out boolean, lang_pred string, score double")
