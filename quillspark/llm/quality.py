@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_bytes
+from .common import fold, lean, text_bytes
 
 LABELLED = 6000  # labelled rows that the fit may take; bounds the driver's memory
 PAIRS = 40_000
@@ -97,28 +97,35 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED) -> dict:
-    """Learns from at most `labelled` labelled rows outside the held-out fold, those with the least hash of their id.
+    """Learns from at most `labelled` pairs of a labelled document and its label outside the held-out fold, those with
+    the least hash of their id.
 
-    Rows with null id, text or label give nothing. A key with several labels gives each of them.
+    Rows with null id, text or label give nothing, and labels without a document don't count. A key with several
+    labels gives each of them once; of several texts that share a key the one with the least hash counts.
     """
-    kept = labels.select(key, "quality").where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~fold(key, 4, 2))
-    kept = kept.orderBy(F.xxhash64(key), "quality").limit(labelled)
-    rows = documents.select(key, F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(kept), key).select(F.xxhash64(key).alias("h"), "quality", text_bytes().alias("t"))
+    kept = labels.select(key, "quality").where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~fold(key, 4, 2)).distinct()
+    there = documents.where(F.col("text").isNotNull()).select(key)
+    kept = kept.join(there, key, "left_semi").orderBy(F.xxhash64(key), key, "quality").limit(labelled)
+    rows = documents.select(key, F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(kept), key).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), "quality", text_bytes().alias("t"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("quality").cast(pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=["h", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("k"), b.column("quality").cast(pa.int32()), b.column("th"), pa.array(found, pa.list_(pa.float64()))], names=["h", "k", "quality", "th", "x"])
 
     # features, not texts, come to the driver
-    got = sorted((r.h, list(r.x), r.quality) for r in rows.mapInArrow(measured, "h bigint, quality int, x array<double>").limit(2 * labelled).collect())
+    kind = rows.schema["k"].dataType.simpleString()
+    seen = rows.withColumn("th", F.xxhash64("t")).mapInArrow(lean(measured, "t"), f"h bigint, k {kind}, quality int, th bigint, x array<double>")
+    got = sorted((r.h, list(r.x), r.quality) for r in seen.groupBy("h", "k", "quality").agg(F.min_by("x", F.struct("th", "x")).alias("x")).collect())
     return fit(np.array([r[1] for r in got]), np.array([r[2] for r in got]))
 
 
 def quality_scores(documents: DataFrame, model: dict, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """Every document's held_out, score and predicted, beside the columns in keep (default: the key).
 
-    Only the whole text is scored; null and empty texts get the score of zero features. Repeated rows stay.
+    Only the whole text is scored; null and empty texts get the score of zero features, rows with a null key are not
+    held out. Equal texts get equal scores, and a score of just 0.7 is predicted 1. Repeated rows stay; columns in keep
+    may have any name but those returned; an empty table gives no rows.
     """
     keep = [key] if keep is None else keep
     spark = documents.sparkSession
@@ -133,6 +140,6 @@ def quality_scores(documents: DataFrame, model: dict, key: str = "doc_id", keep:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array(p)], names=[*names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_bytes")
-    return rows.mapInArrow(scored, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(lean(scored, "_bytes"), f"{fields}, score double, predicted int")
 
 
