@@ -85,8 +85,14 @@ def extendible_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int,
     )
 
 
-def write_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int, path: str) -> None:
+def write_shards(df: DataFrame, key: str, size: F.Column, limit_bytes: int, path: str) -> str:
     """df as one folder per shard of extendible_shards, each row in its own shard: the rows of a repeated key are
-    split as the shards are, so shard_bytes and shard_rows are those of the folder."""
-    rows = extendible_shards(df, key, size, limit_bytes, whole=True)
-    rows.select("_row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    split as the shards are, so shard_bytes and shard_rows are those of the folder. Null keys are one key, repeated rows
+    all stay; an empty table gives no folders. Returns the name of the folders' column: shard, with underscores
+    behind it where df has a column of that name."""
+    name = "shard"
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    rows = extendible_shards(df, key, size, limit_bytes, whole=True).select("_row.*", F.col("shard").alias(name))
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    return name

@@ -18,3 +18,11 @@ def test_written_shards_split_a_hot_key(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, rows))
     assert all(sum(b) <= LIMIT or len(b) == 1 for b in sizes.values())
     assert sum(sum(b) > LIMIT for b in sizes.values()) == 1
+
+
+def test_written_shards_of_odd_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "b"), (None, None, None)], "id bigint, shard string, Shard_ string")
+    assert S.write_shards(df, "id", F.octet_length("shard"), LIMIT, str(tmp_path / "a")) == "shard__"
+    assert sorted(tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "a")).fillna(0, ["id"]).fillna("").collect()) == [(0, "", ""), (1, "a", "b")]
+    S.write_shards(df.limit(0), "id", F.octet_length("shard"), LIMIT, str(tmp_path / "b"))
+    assert not list((tmp_path / "b").glob("shard*"))
