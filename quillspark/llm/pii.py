@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST = 0.5  # probability from which a candidate becomes a span
@@ -221,7 +222,7 @@ def extracted(documents: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(out, kind)], names=[*keep, "spans"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(extract, f"{fields}spans array<struct<kind: int, start: bigint, end: bigint, base: boolean, code: bigint>>")
+    return rows.mapInArrow(lean(extract, "_text"), f"{fields}spans array<struct<kind: int, start: bigint, end: bigint, base: boolean, code: bigint>>")
 
 
 def trained(spans: DataFrame) -> Model:
@@ -259,31 +260,41 @@ def personal_data(documents: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return rows.mapInArrow(report, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(report, None), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
-def _redacted(text: str, codes: frozenset[int]) -> str:
-    base, more = candidates(text)
-    more = [(k, a, e) for k, a, e in more if _code(text, k, a, e, False) in codes]
+def _redacted(text: str, spans: list[dict], codes: frozenset[int]) -> str:
     parts, end = [], 0
-    for kind, a, e in sorted(base + more, key=lambda s: (s[1], -s[2])):
-        if a >= end:
-            parts += [text[end:a], f"<{KINDS[kind]}>"]
-        end = max(end, e)
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"], s["kind"])):
+        if s["base"] or s["code"] in codes:
+            if s["start"] >= end:
+                parts += [text[end : s["start"]], f"<{KINDS[s['kind']]}>"]
+            end = max(end, s["end"])
     return "".join([*parts, text[end:]])
 
 
 def redacted(documents: DataFrame) -> DataFrame:
     """documents with every span of the text replaced by its kind in angle brackets; overlaps are one span of
-    the first's kind. n_chars, where there is one, follows the text. A null text stays null."""
-    sent = documents.sparkSession.sparkContext.broadcast(frozenset(chosen(trained(extracted(documents, [])))))
+    the first's kind. n_chars, where there is one, follows the text. A null text stays null, an empty one empty;
+    repeated rows stay; columns may have any name; an empty table gives no rows. Spans are found once and kept beside
+    the rows, as the model needs those of all documents before any is replaced."""
+    found = stored(extracted(documents.select(F.struct(*documents.columns).alias("_row"), "text"), ["_row"]), "private")
+    sent = documents.sparkSession.sparkContext.broadcast(frozenset(chosen(trained(found))))
     names = documents.columns
     at = [n.lower() for n in names].index("text")
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else _redacted(t, sent.value) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), pa.array(texts, pa.string()), *(b.column(i) for i in range(at + 1, len(names)))], names=names)
-
-    out = documents.mapInArrow(redact, documents.schema)
+            # rows without spans are as they were
+            some = np.flatnonzero(pc.list_value_length(b.column("spans")).to_numpy(zero_copy_only=False) > 0)
+            row = b.column("_row")
+            cols = [row.field(i) for i in range(len(names))]
+            if len(some):
+                texts, own = cols[at].to_pylist(), b.column("spans").take(pa.array(some)).to_pylist()
+                for i, spans in zip(some.tolist(), own, strict=True):
+                    texts[i] = _redacted(texts[i], spans, sent.value)
+                cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    out = found.mapInArrow(lean(redact, None), documents.schema)
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out

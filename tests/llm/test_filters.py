@@ -1,9 +1,11 @@
 """Language ID, quality, decontamination, sharding."""
 
 import itertools
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate as D
@@ -37,6 +39,59 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predicted_language(df, langid.train(empty)).collect()} == {"und"}
 
 
+def test_windows_cover_every_run():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 255, 256, 257, 300, 509, 510, 2000):
+        text = rng.integers(1, 256, n).astype(np.uint8).tobytes()
+        w = [x.tobytes() for x in langid.windows(text)]
+        assert b"".join([w[0], *(x[langid.WINDOW - langid.STRIDE :] for x in w[1:])]).rstrip(b"\0") == text
+        assert all(any(text[i : i + 4] in x for x in w) for i in range(n - 3))
+
+
+def test_language_of_many_languages(spark):
+    """No language is left out, however many there are and however long one text is."""
+    rng = random.Random(7)
+    names = [f"l{k}" for k in range(30)]
+    letters = {n: rng.sample([chr(c) for c in range(0x430, 0x450)] + list("abcdefghijklmnopqrstuvwxyz"), 6) for n in names}
+    rows = [(i, "".join(rng.choice(letters[names[i % 30]]) for _ in range(3000 if i == 4 else 150)), names[i % 30], "s", 0) for i in range(600)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = langid.train(df, 60_000)
+    assert sorted(model["names"]) == sorted(names)
+    held = [r for r in langid.predicted_language(df, model).collect() if r.held_out]
+    assert np.mean([r.lang_pred == names[r.doc_id % 30] for r in held]) > 0.7  # of 30
+
+
+TABLES = "/root/testdata/sf0.01"
+there = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+
+
+@there
+def test_language_of_the_tables(spark):
+    docs = spark.read.parquet(TABLES + "/documents.parquet")
+    held = langid.predicted_language(docs, langid.train(docs)).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) > 100 and np.mean([r.lang_pred == r.lang for r in held if r.lang_pred != "und"]) > 0.97
+
+
+@there
+def test_quality_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"{TABLES}/{n}.parquet") for n in ("documents", "labels"))
+    held = quality.quality_scores(docs, quality.train(docs, labels)).where("held_out").join(labels.where("quality is not null"), "doc_id").collect()
+    assert len(held) > 50 and np.mean([r.predicted == r.quality for r in held]) > 0.93
+    good, bad = ([r.score for r in held if r.quality == k] for k in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.93
+
+
+def test_quality_fit_is_bounded_and_stable(spark):
+    """A key with many rows counts once; the model doesn't depend on partitions."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40) if i % 3 else "$ " * 30, None, None, 0) for i in range(200)] + [(1, prose(rng, 30), None, None, 0) for _ in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)] * 2, "doc_id bigint, quality int, toxic int")
+    one, other = (quality.train(df.repartition(n), lab, labelled=50) for n in (1, 5))
+    assert all(np.array_equal(one[k], other[k]) for k in one)
+    assert np.array_equal(quality.train(df, lab, labelled=50)["w"], one["w"])
+
+
 def test_network_equals_its_tables():
     rng = np.random.default_rng(0)
     p = {"e": rng.normal(size=(256, langid.EMBED)), "o": rng.normal(size=(36, 2)), "c": np.zeros(2)}
