@@ -65,14 +65,17 @@ def words(text: bytes) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """64-bit hashes of words; forgets all when full, so that a worker's memory stays bounded."""
+    """64-bit hashes of words; forgets all when full and keeps no long ones, so that a worker's memory stays bounded."""
 
-    MOST = 200_000
+    MOST = 400_000
+    LONGEST = 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -99,8 +102,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 
 def _freed() -> None:
-    """Gives back what a task's tables held, as an idle worker keeps its memory."""
-    _HASHES.clear()
+    """Gives back what a task held; an idle worker keeps its memory otherwise."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

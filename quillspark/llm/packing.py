@@ -44,10 +44,12 @@ class Encoder:
 
     Where the tokenizer's own description says that it lower-cases, splits by a pattern and then merges bytes, simple
     texts are split here; the pieces of a batch that aren't known yet go to the tokenizer's model together. All
-    else goes through the tokenizer, part by part. When too many pieces are known, those of the batch stay.
+    else goes through the tokenizer, part by part. When too many pieces are known, or too long ones, those of the batch
+    stay.
     """
 
-    MOST = 300_000
+    MOST = 600_000
+    MOST_LETTERS = 24_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +68,7 @@ class Encoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
+        self.letters_known = 0
 
     @staticmethod
     def _pattern(d: dict) -> re.Pattern | None:
@@ -95,8 +98,10 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > self.MOST:
+        self.letters_known += sum(map(len, new))
+        if len(self.known) + len(new) > self.MOST or self.letters_known > self.MOST_LETTERS:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.letters_known = sum(map(len, pieces))
         for part in (p for p in new if p[0] == " "):
             self.known[part] = np.array(self.tokenizer.encode(part[1:], add_special_tokens=False).ids, dtype="<u2").tobytes()
         merged = [p for p in new if p[0] != " "]
