@@ -17,19 +17,21 @@ END = b"\n"  # no word can hold white space
 UNK, END_ID, START = 0, 1, 2  # of the model's vocabulary
 LEAST_COUNT = 20  # of a word of the model
 FEWEST_WORDS = 2045  # of the model: a small corpus has its most frequent words, however rare
-MOST_WORDS = 1 << 19  # of the model, which goes to every task
+MOST_WORDS = (1 << 15) - 3  # of the model, which goes to every task and is normalised over for every token
 CONTEXT = 6  # tokens before a word that its probability depends on
-DIMS = 16
-NOISE = 64
-OWN_NOISE = 4  # noise words from the target's class
+DIMS = 8
+NOISE = 32
+OWN_NOISE = 2  # noise words from the target's class
 BLOCK = 1024  # rows of parameters that are averaged together
-CHUNK = 2048  # tokens scored by one matrix product
+CHUNK = 512  # tokens scored by one matrix product
 SCORED = 1 << 17  # tokens whose classes are scored together
-BATCH = 4096
-SHARD = 1 << 19  # training tokens that are learned from one start, and as many as PER_WORD for each word of the model
+BATCH = 2048
+SHARD = 1 << 20  # training tokens that are learned from one start, and as many as PER_WORD for each word of the model
 PER_WORD = 32
-ROUNDS = 2
-RATE = 0.1
+ROUNDS = 1
+RATE = 0.2
+DAMPED = 1.0  # squared gradients that a parameter begins with
+RUN = 32  # neighbouring targets that are learned in one step
 HEAD = 1 << 17  # tokens whose counts every task holds
 MOST_COUNTED = 300_000
 
@@ -103,7 +105,8 @@ class Model:
         self.Q = np.zeros((size + self.runs, DIMS), np.float32)
         self.C = np.full((CONTEXT, DIMS), 1 / CONTEXT, np.float32)
         self.noise = np.concatenate([unigram[: self.single], mass])
-        self.bias = np.log(np.concatenate([self.noise, tail / np.repeat(mass, run)[: len(tail)]])).astype(np.float32)
+        self.unigram = np.log(np.concatenate([self.noise, tail / np.repeat(mass, run)[: len(tail)]])).astype(np.float32)
+        self.bias = self.unigram.copy()
 
     def get(self) -> dict[str, np.ndarray]:
         return {n: getattr(self, n) for n in self.NAMES}
@@ -116,54 +119,75 @@ class Model:
         return np.where(w < self.single, w, self.single + (w - self.single) // self.run)
 
     def contexts(self, x: np.ndarray) -> np.ndarray:
-        """Of rows of CONTEXT ids, the nearest last."""
-        h = self.R[x[:, 0]] * self.C[0]
+        """Of runs of ids (their last axis), the contexts of all behind the first CONTEXT of them: shifted sums."""
+        e, n = self.R[x[..., :-1]], x.shape[-1] - CONTEXT
+        h = e[..., :n, :] * self.C[0]
         for k in range(1, CONTEXT):
-            h += self.R[x[:, k]] * self.C[k]
-        return h
-
-    def learn(self, x: np.ndarray, w: np.ndarray, weight: np.ndarray, state: dict, rng: np.random.Generator) -> None:
-        """One step of NCE; AdaGrad. Classes have a noise sample shared by the batch, the words of a class one for each target."""
-        z = np.searchsorted(state["cdf"], rng.random(NOISE)).clip(0, self.top - 1)
-        shift = np.log(NOISE * self.noise).astype(np.float32)
+            h += e[..., k : k + n, :] * self.C[k]
+        return h.reshape(-1, DIMS)
+
+    def learn(self, x: np.ndarray, weight: np.ndarray, state: dict, rng: np.random.Generator) -> None:
+        """One step of NCE on runs of ids; AdaGrad. weight: of the targets, which are all ids behind the first
+        CONTEXT of a run; 0 for none. Classes have a noise sample shared by the step. Words have as noise the targets that
+        happen to stand behind them in a random order of their class: words by their frequency."""
+        n = x.shape[1] - CONTEXT
+        w, wt = x[:, CONTEXT:].reshape(-1).astype(np.int64), weight.reshape(-1).astype(np.float32)
         h, c = self.contexts(x), self.classes(w)
-        pos = (h * self.Q[c]).sum(1) + self.bias[c] - shift[c]
-        neg = h @ self.Q[z].T + self.bias[z] - shift[z]
-        wt = weight.astype(np.float32)
-        gp = -wt / (1 + np.exp(np.clip(pos, -30, 30)))
-        gn = wt[:, None] / (1 + np.exp(np.clip(-neg, -30, 30)))
+        z = np.searchsorted(state["cdf"], rng.random(NOISE)).clip(0, self.top - 1)
+        # classes
+        gp = -wt / (1 + np.exp((h * self.Q[c]).sum(1) + self.bias[c] - state["shift"][c]))
+        gn = wt[:, None] / (1 + np.exp(-(h @ self.Q[z].T + (self.bias[z] - state["shift"][z]))))
         dh = gp[:, None] * self.Q[c] + gn @ self.Q[z]
         rows, grads = [c, z], [np.hstack([gp[:, None] * h, gp[:, None]]), np.hstack([gn.T @ h, gn.sum(0)[:, None]])]
-        at = np.flatnonzero(w >= self.single)
-        if len(at):
-            first = self.single + (c[at] - self.single) * self.run
-            many = np.minimum(first + self.run, self.size) - first
-            y = first[:, None] + (rng.random((len(at), OWN_NOISE)) * many[:, None]).astype(np.int64)
-            y = np.hstack([w[at][:, None], y]) + self.runs
-            own, q = h[at], self.Q[y]
-            s = np.einsum("nd,nkd->nk", own, q) + self.bias[y] - np.log(OWN_NOISE / many).astype(np.float32)[:, None]
-            s[:, 0] *= -1
-            g = wt[at][:, None] / (1 + np.exp(np.clip(-s, -30, 30)))
-            g[:, 0] *= -1
-            dh[at] += np.einsum("nk,nkd->nd", g, q)
-            rows.append(y.reshape(-1))
-            grads.append(np.concatenate([g[:, :, None] * own[:, None, :], g[:, :, None]], axis=2).reshape(-1, DIMS + 1))
-        k, g = _summed(np.concatenate(rows), np.vstack(grads))
-        j, r = _summed(x.T.reshape(-1), np.vstack([dh * self.C[i] for i in range(CONTEXT)]))
-        places = np.stack([(dh * self.R[x[:, i]]).sum(0) for i in range(CONTEXT)])
-        for n, i, d in (("Q", k, g[:, :-1]), ("bias", k, g[:, -1]), ("R", j, r), ("C", slice(None), places)):
-            p = getattr(self, n)
-            if n not in state:
-                state[n] = np.ones_like(p)
-            state[n][i] += d * d
-            p[i] -= np.float32(RATE) * d / np.sqrt(state[n][i])
-
-    def log_p(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """ln P(w | x), normalised over all words: over the classes by blocks of tokens, over its words class by class."""
-        h, c = self.contexts(x), self.classes(w)
+        # words of the same class behind each other, in random order
+        at = np.flatnonzero((w >= self.single) & (wt > 0))
+        at = at[rng.permutation(len(at))]
+        at = at[np.argsort((c[at] - self.single).astype(np.uint16 if self.runs < 1 << 16 else np.int64), kind="stable")]
+        own, k = h[at], w[at] + self.runs
+        q, b, cls, u = self.Q[k], self.bias[k] - state["own"][w[at]], c[at], wt[at]
+        near = [np.flatnonzero(cls[s:] == cls[:-s]) for s in range(1, OWN_NOISE + 1)]
+        many = np.zeros(len(at), np.float32)
+        for y in near:
+            many[y] += 1
+        shift = np.log(np.maximum(many, 1))
+        g = np.where(many > 0, -u / (1 + np.exp((own * q).sum(1) + b - shift)), 0).astype(np.float32)
+        dq, do = np.hstack([g[:, None] * own, g[:, None]]), g[:, None] * q
+        for s, y in enumerate(near, 1):
+            g = u[y] / (1 + np.exp(-((own[y] * q[y + s]).sum(1) + b[y + s] - shift[y])))
+            dq[y + s] += np.hstack([g[:, None] * own[y], g[:, None]])
+            do[y] += g[:, None] * q[y + s]
+        dh[at] += do
+        k, g = _summed(np.concatenate([*rows, k]), np.vstack([*grads, dq]))
+        e, dh = self.R[x[:, :-1]], dh.reshape(len(x), n, DIMS)
+        de, places = np.zeros_like(e), np.empty_like(self.C)
+        for i in range(CONTEXT):
+            de[:, i : i + n] += dh * self.C[i]
+            places[i] = (dh * e[:, i : i + n]).reshape(-1, DIMS).sum(0)
+        j, r = _summed(x[:, :-1].reshape(-1), de.reshape(-1, DIMS))
+        for name, i, d in (("Q", k, g[:, :-1]), ("bias", k, g[:, -1:]), ("R", j, r), ("C", slice(None), places)):
+            p = getattr(self, name)
+            if name not in state:
+                state[name] = np.full(p.shape, DAMPED, np.float32)
+            d = d.reshape(-1) if name == "bias" else d
+            state[name][i] += d * d
+            p[i] -= np.float32(RATE) * d / np.sqrt(state[name][i])
+
+    def state(self) -> dict[str, np.ndarray]:
+        """What learning keeps: of the unigram model the classes' cumulated shares, their logs with the noise's number, and
+        the logs of the words' shares of their classes."""
+        own = np.zeros(self.size, np.float32)
+        own[self.single :] = self.unigram[self.top :]
+        return {"cdf": np.cumsum(self.noise), "shift": np.log(NOISE * self.noise).astype(np.float32), "own": own}
+
+    def log_p(self, x: np.ndarray) -> np.ndarray:
+        """ln P of all ids of a run behind the first CONTEXT, normalised over all words: over the classes by blocks of
+        tokens, over the words class by class."""
+        w = x[CONTEXT:].astype(np.int64)
+        h, c = np.hstack([self.contexts(x), np.ones((len(w), 1), np.float32)]), self.classes(w)
+        q = np.hstack([self.Q, self.bias[:, None]])
         out = np.empty(len(w))
         for k in range(0, len(w), CHUNK):
-            out[k : k + CHUNK] = _log_softmax(h[k : k + CHUNK], self.Q[: self.top], self.bias[: self.top], c[k : k + CHUNK])
+            out[k : k + CHUNK] = _log_softmax(h[k : k + CHUNK], q[: self.top], c[k : k + CHUNK])
         at = np.flatnonzero(w >= self.single)
         at = at[np.argsort(c[at], kind="stable")]
         cuts = np.flatnonzero(np.diff(c[at])) + 1
@@ -171,29 +195,49 @@ class Model:
             for k in range(lo, hi, CHUNK):
                 i = at[k : min(k + CHUNK, hi)]
                 first = self.single + (c[i[0]] - self.single) * self.run
-                rows = slice(first + self.runs, min(first + self.run, self.size) + self.runs)
-                out[i] += _log_softmax(h[i], self.Q[rows], self.bias[rows], w[i] - first)
+                out[i] += _log_softmax(h[i], q[first + self.runs : min(first + self.run, self.size) + self.runs], w[i] - first)
         return out
 
 
-def _log_softmax(h: np.ndarray, q: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _log_softmax(h: np.ndarray, q: np.ndarray, target: np.ndarray) -> np.ndarray:
     s = h @ q.T
-    s += bias
     own = s[np.arange(len(s)), target].astype(np.float64)
-    m = s.max(1, keepdims=True)
-    s -= m
+    if (m := s.max(initial=0)) > 80 or s.min(initial=0) < -80:
+        m = s.max(1, keepdims=True)
+        return own - np.log(np.exp(s - m).sum(1, dtype=np.float64)) - m[:, 0]
     np.exp(s, out=s)
-    return own - np.log(s.sum(1, dtype=np.float64)) - m[:, 0]
+    return own - np.log(s.sum(1))
 
 
 def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct indices and their rows added up."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
     at = index[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
+def runs(ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as runs of RUN targets, each behind its context, and the targets' times; the first CONTEXT ids are no targets."""
+    more = -(len(ids) - CONTEXT) % RUN
+    ids, times = np.append(ids, np.full(more, START, ids.dtype)), np.append(times[CONTEXT:], np.zeros(more, times.dtype))
+    return np.lib.stride_tricks.sliding_window_view(ids, CONTEXT + RUN)[::RUN], times.reshape(-1, RUN)
+
+
+class _Ids(dict):
+    """Ids of known words, and one for all others, which aren't remembered."""
+
+    def __init__(self, ids: dict[bytes, int], other: int):
+        super().__init__(ids)
+        self.other = other
+
+    def __missing__(self, word: bytes) -> int:
+        return self.other
+
+    def of(self, tokens: list[bytes], kind: type) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), dtype=kind, count=len(tokens))
+
+
 def shape(size: int) -> tuple[int, int]:
     """single and run for so many words: about as many classes as words in a class."""
     root = math.isqrt(size)
@@ -238,10 +282,10 @@ def _numbered(texts: DataFrame, vocabulary: dict[bytes, int], shards: int) -> Da
     names = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = names.value.get
+        known = _Ids(names.value, UNK)
         for b in batches:
             rows: Counter = Counter(zip(b.column("h").to_pylist(), b.column("b").to_pylist(), strict=True))
-            ids = [np.array([*(get(w, UNK) for w in words(t)), END_ID], dtype=np.int32).tobytes() for _, t in rows]
+            ids = [known.of([*words(t), END], np.int32).tobytes() for _, t in rows]
             h = np.array([k for k, _ in rows], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h % shards), pa.array(h), pa.array(list(rows.values()), pa.int64()), pa.array(ids, pa.binary())], names=["shard", "h", "times", "ids"])
 
@@ -271,14 +315,13 @@ def trained(texts: DataFrame, vocabulary: dict[bytes, int], unigram: np.ndarray,
             rows = rows.group_by(["h", "ids"]).aggregate([("times", "sum")]).sort_by([("h", "ascending"), ("ids", "ascending")])
             own = Model(len(uni), uni, 1, *form)
             own.put(start)
-            state, rng = {"cdf": np.cumsum(own.noise)}, np.random.default_rng([turn, shard])
+            state, rng = own.state(), np.random.default_rng([turn, shard])
             parts = [np.concatenate([np.full(CONTEXT, START, np.int32), np.frombuffer(x.as_py(), np.int32)]) for x in rows["ids"]]
-            ids, size = np.concatenate(parts), np.array([len(p) - CONTEXT for p in parts])
-            # the places of all tokens but the starts
-            at = np.arange(size.sum()) + np.repeat(CONTEXT * np.arange(1, len(size) + 1), size)
-            times = np.repeat(rows["times_sum"].to_numpy(), size)
-            for k in np.array_split(rng.permutation(len(at)), max(1, round(len(at) / BATCH))):
-                own.learn(np.stack([ids[at[k] - CONTEXT + i] for i in range(CONTEXT)], 1), ids[at[k]].astype(np.int64), times[k], state, rng)
+            ids, times = np.concatenate(parts), np.repeat(rows["times_sum"].to_numpy(), [len(p) for p in parts])
+            times = np.where(ids == START, 0, times)
+            x, times = runs(ids, times)
+            for k in np.array_split(rng.permutation(len(x)), max(1, len(x) * RUN // BATCH)):
+                own.learn(x[k], times[k], state, rng)
             return pa.Table.from_batches(list(_changes(own, start, shard, int(times.sum()))), _CHANGES)
 
         moved = train.groupBy("shard").applyInArrow(learn, "name string, block bigint, shard bigint, rows binary, v binary, n double")
@@ -322,11 +365,11 @@ def scores(documents: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = sent.value
-        index = {w: k for k, w in enumerate(known)}
+        index = _Ids({w: k for k, w in enumerate(known)}, len(known))
         ids = np.array([i for i, _ in known.values()] + [UNK], dtype=np.int64)
         logs = np.array([math.log10(c + 1) for _, c in known.values()] + [0.0])
         some = np.array([c > 0 for _, c in known.values()] + [False])
-        last, get = len(known), index.get
+        last = len(known)
         # per token: ln P of the model for its id, and of the unknown word's tokens log10 of their share
         share = np.where(ids == UNK, logs, 0.0)
         for b in batches:
@@ -335,8 +378,10 @@ def scores(documents: DataFrame) -> DataFrame:
             waiting, held = [], 0
 
             def flush() -> None:
-                p = own.log_p(*(np.concatenate(part) for part in zip(*waiting, strict=True)))
-                sums = np.add.reduceat(p, np.cumsum([0, *(len(z) for _, z in waiting[:-1])])) / math.log(10)
+                p = own.log_p(np.concatenate(waiting))
+                # of each text without its START ids; the first of them is before the run
+                ends = np.cumsum([len(z) for z in waiting]) - CONTEXT
+                sums = np.array([p[a - len(z) + CONTEXT : a].sum() for a, z in zip(ends, waiting, strict=True)]) / math.log(10)
                 for j, v in enumerate(sums, len(out[3]) - len(waiting)):
                     out[3][j] += float(v)
                 waiting.clear()
@@ -344,9 +389,8 @@ def scores(documents: DataFrame) -> DataFrame:
             for t in b.column("b").to_pylist():
                 w = words(t)
                 w.append(END)
-                k = np.fromiter((get(x, last) for x in w), dtype=np.int64, count=len(w))
+                k = index.of(w, np.int64)
                 z = ids[k]
-                x = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(CONTEXT, START), z[:-1]]), CONTEXT)
                 tail = Counter(w[j] for j in np.flatnonzero(k == last))
                 out[0].append(len(w))
                 out[1].append(int(some[k].sum()))
@@ -356,7 +400,7 @@ def scores(documents: DataFrame) -> DataFrame:
                 tokens += tail
                 times += tail.values()
                 lists.append(len(tokens))
-                waiting.append((x, z))
+                waiting.append(np.concatenate([np.full(CONTEXT, START), z]))
                 held += len(z)
                 if held >= SCORED:
                     flush()

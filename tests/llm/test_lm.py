@@ -46,8 +46,9 @@ def test_normalised():
         m = L.Model(50, uni / uni.sum(), single=single, run=run)
         m.R, m.Q, m.C = (rng.normal(0, 1, x.shape).astype(np.float32) for x in (m.R, m.Q, m.C))
         contexts = rng.integers(0, 50, (40, L.CONTEXT))
-        x, w = np.repeat(contexts, 50, axis=0), np.tile(np.arange(50), 40)
-        lp = m.log_p(x, w).reshape(40, 50)
+        lp = np.array([[m.log_p(np.append(x, w))[0] for w in range(50)] for x in contexts])
+        run = rng.integers(0, 50, 300)
+        assert np.allclose(m.log_p(run), [m.log_p(run[k : k + L.CONTEXT + 1])[0] for k in range(300 - L.CONTEXT)], atol=1e-4)
         assert np.allclose(np.exp(lp).sum(1), 1, atol=1e-4)
         h = sum(m.R[contexts[:, k]] * m.C[k] for k in range(L.CONTEXT))
         z = h @ m.Q[: m.top].T + m.bias[: m.top]
@@ -59,7 +60,7 @@ def test_untrained_is_unigram():
     uni = np.random.default_rng(2).random(50)
     uni /= uni.sum()
     m = L.Model(50, uni, single=8, run=9)
-    assert np.allclose(np.exp(m.log_p(np.zeros((50, L.CONTEXT), int), np.arange(50))), uni, atol=1e-4)
+    assert np.allclose([np.exp(m.log_p(np.append(np.zeros(L.CONTEXT, int), w))[0]) for w in range(50)], uni, atol=1e-4)
 
 
 def test_frequent(spark):
