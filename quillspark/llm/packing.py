@@ -64,7 +64,8 @@ class Encoder:
         self.simple_text = re.compile(f"[{_SIMPLE} \n]*")
         self.firsts = {c for t in d["added_tokens"] for c in (t["content"][:1].lower(), t["content"][:1].upper())}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in d["added_tokens"]) or "(?!)", re.IGNORECASE)
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = {b: letters[b] for b in range(128, 256)}  # simple pieces have no other bytes than these and printable ASCII
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
@@ -84,7 +85,7 @@ class Encoder:
         return None if r"\p" in pattern else re.compile(pattern)
 
     def _is_simple(self, text: str, pattern: re.Pattern) -> bool:
-        return self.split is not None and bool(pattern.fullmatch(text)) and (self.firsts.isdisjoint(text) or not self.special.search(text))
+        return self.split is not None and bool(pattern.fullmatch(text)) and (not any(c in text for c in self.firsts) or not self.special.search(text))
 
     def _pieces(self, text: str) -> list[str]:
         """A text's pieces; a part that goes through the tokenizer stands as itself behind a blank."""
@@ -102,12 +103,12 @@ class Encoder:
         if len(self.known) + len(new) > self.MOST or self.letters_known > self.MOST_LETTERS:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
             self.letters_known = sum(map(len, pieces))
-        for part in (p for p in new if p[0] == " "):
+        for part in [p for p in new if p[0] == " "]:
             self.known[part] = np.array(self.tokenizer.encode(part[1:], add_special_tokens=False).ids, dtype="<u2").tobytes()
         merged = [p for p in new if p[0] != " "]
         for i in range(0, len(merged), 16384):
             block = merged[i : i + 16384]
-            got = self.model.encode(" ".join(p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in block), add_special_tokens=False)
+            got = self.model.encode(" ".join(block).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
             data = np.array(got.ids, dtype="<u2").tobytes()
             ends = (2 * np.searchsorted(np.array(got.word_ids), np.arange(len(block) + 1))).tolist()
             self.known.update(zip(block, (data[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
