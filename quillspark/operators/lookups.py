@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbering import row_numbers
+
 
 def mapped(df: DataFrame, fields: dict[str, tuple[str | None, str]]) -> DataFrame:
     """Header columns as typed fields: name to (source column or None, type). What can't be cast gets the type's
@@ -41,12 +43,15 @@ def links(cells: DataFrame, relations: DataFrame) -> DataFrame:
     return cells.join(relations.select(F.col("id").alias("r_id"), "url"), "r_id", "left").withColumn("url", F.coalesce("url", F.concat(F.lit("#"), F.col("location"))))
 
 
+def looked_up(df: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
+    """df with a table's columns where its key is found, null elsewhere."""
+    return df.join(table, key, "left")
+
+
 def dictionary(df: DataFrame, column: str, order: str) -> DataFrame:
     """Distinct values with their index in the order of their first appearance."""
-    from pyspark.sql import Window
-
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first"))
-    return first.withColumn("index", F.row_number().over(Window.orderBy("first")) - 1)
+    return row_numbers(first, ["first", "value"], "index").withColumn("index", F.col("index") - 1)
 
 
 def spine(items: DataFrame, manifest: DataFrame) -> DataFrame:

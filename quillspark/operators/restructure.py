@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .numbering import row_numbers
 
 
 def merge(parts: list[DataFrame], order: list[str], key: list[str] | None = None) -> DataFrame:
     """Parts behind each other: their rows with source (the part's number) and ordinal (from 1).
 
     order: what orders a part's rows; key: columns whose groups are numbered apart (documents of a corpus). Without
-    a key all rows are one document, whose numbers need all rows in order.
+    a key all rows are one document, whose rows are numbered range by range.
     """
     tagged = [p.withColumn("source", F.lit(k)) for k, p in enumerate(parts)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*(key or [F.lit(0)])).orderBy("source", *order)))
+    if not key:
+        return row_numbers(rows, ["source", *order], "ordinal")
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*key).orderBy("source", *order)))
 
 
 def lines_of(text) -> Column:
@@ -83,42 +89,55 @@ def islands(df: DataFrame, marked: Column, key: list[str], order: str, name: str
 
 
 def paginated(df: DataFrame, height: Column, room: float, key: list[str], order: str) -> DataFrame:
-    """Lines with page (from 1) and y: a line that doesn't fit starts the next page. Greedy, so a document's lines
-    are folded in order; the lines of a key become one array."""
-    rows = df.withColumn("_h", height.cast("double"))
-    columns = [c for c in df.columns if c not in key]
-    lines = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("_h"), F.struct(*columns).alias("_row")))).alias("_lines"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["y"] + x["_h"] > room) & (acc["y"] > 0)
-        page, y = F.when(over, acc["page"] + 1).otherwise(acc["page"]), F.when(over, x["_h"]).otherwise(acc["y"] + x["_h"])
-        return F.struct(page.alias("page"), y.alias("y"), F.concat(acc["out"], F.array(F.struct(page.alias("page"), y.alias("y")))).alias("out"))
-
-    start = F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("y"), F.array().cast("array<struct<page: int, y: double>>").alias("out"))
-    placed = lines.withColumn("_at", F.aggregate("_lines", start, step, lambda acc: acc["out"]))
-    out = placed.select(*key, F.explode(F.arrays_zip("_lines", "_at")).alias("_z"))
-    return out.select(*key, F.col("_z._lines._row.*"), F.col("_z._at.page").alias("page"), F.col("_z._at.y").alias("y"))
+    """Lines with page (from 1) and y: a line that doesn't fit starts the next page. Greedy, so the lines of a key, a
+    document's, are gone over in order in one task, once; lines that are equal in order come by height."""
+    names = [c for c in df.columns if c not in key]
+    rows = df.select(*key, *names, height.cast("double").alias("_h"))
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(order, "ascending"), ("_h", "ascending")])
+        page, y, pages, places = 1, 0.0, [], []
+        for h in t["_h"].to_pylist():
+            h = h or 0.0
+            if y > 0 and y + h > room:
+                page, y = page + 1, 0.0
+            y += h
+            pages.append(page)
+            places.append(y)
+        return t.drop_columns(["_h"]).append_column("page", pa.array(pages, pa.int32())).append_column("y", pa.array(places, pa.float64()))
+
+    return rows.groupBy(*key).applyInArrow(fold, T.StructType([*rows.drop("_h").schema.fields, T.StructField("page", T.IntegerType()), T.StructField("y", T.DoubleType())]))
 
 
 def text_rows(glyphs: DataFrame, key: list[str], y_tolerance: float = 5.0, x_tolerance: float = 10.0) -> DataFrame:
     """Positioned text as rows of cells: key, row and cells. A row holds what lies within y_tolerance of its first
     item (from the top), and neighbours whose starts differ by x_tolerance at most are one cell.
 
-    Each comparison is with the first item of a row, not the one before, so items are folded in order; the items
-    of a key (a page) become one array.
+    Each comparison is with the first item of a row, not the one before, so the items of a key, a page's, are gone over in
+    order in one task, once.
     """
-    items = F.struct((-F.col("y")).alias("ny"), F.col("x"), F.col("text"))
-    pages = glyphs.groupBy(*key).agg(F.sort_array(F.collect_list(items)).alias("_items"))
-    start = F.struct(F.lit(0).alias("row"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<row: int, x: double, text: string>>").alias("out"))
-
-    def step(acc: Column, g: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(acc["anchor"] - g["ny"]) > y_tolerance)
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(row.alias("row"), F.when(new, g["ny"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), g["x"].cast("double").alias("x"), g["text"].alias("text")))).alias("out"))
-
-    rows = pages.select(*key, F.inline(F.aggregate("_items", start, step, lambda a: a["out"])))
-    w = Window.partitionBy(*key, "row").orderBy("x")
-    cell = F.sum(F.coalesce((F.col("x") - F.lag("x").over(w) > x_tolerance).cast("int"), F.lit(0))).over(w)
-    cells = rows.withColumn("cell", cell).groupBy(*key, "row", "cell").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("t"))
-    cells = cells.select(*key, "row", "cell", F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("text"))
-    return cells.groupBy(*key, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("cells"))
+    items = glyphs.select(*key, (-F.col("y").cast("double")).alias("_y"), F.col("x").cast("double").alias("_x"), F.col("text").alias("_t"))
+
+    def fold(t: pa.Table) -> pa.Table:
+        rows: list[list[tuple[float, str]]] = []
+        anchor = None
+        for r in t.select(["_y", "_x", "_t"]).sort_by([("_y", "ascending"), ("_x", "ascending"), ("_t", "ascending")]).to_pylist():
+            if anchor is None or abs(anchor - r["_y"]) > y_tolerance:
+                anchor = r["_y"]
+                rows.append([])
+            rows[-1].append((r["_x"], r["_t"] or ""))
+        out = []
+        for own in rows:
+            own.sort()
+            cells, last = [], None
+            for x, text in own:
+                if last is None or x - last > x_tolerance:
+                    cells.append("")
+                cells[-1] += text
+                last = x
+            out.append([c.strip(" ") for c in cells])
+        first = t.select(key).slice(0, 1).take(pa.array([0] * len(out), pa.int64()))
+        return first.append_column("row", pa.array(range(1, len(out) + 1), pa.int32())).append_column("cells", pa.array(out, pa.list_(pa.string())))
+
+    schema = T.StructType([*items.select(*key).schema.fields, T.StructField("row", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+    return items.groupBy(*key).applyInArrow(fold, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_supported
-from ..sources.files import extract, extract_markdown, extract_text, files
+from ..sources.files import extract, extract_markdown, extract_text, files, named
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +30,7 @@ def tables(spark: SparkSession, path: str) -> DataFrame:
     by name, so that a file's bytes are read once."""
     out = None
     for ext, part in TABLES.items():
-        rows = extract(files(spark, path, f"*.{ext}"), part, ["path", "ext"])
+        rows = extract(files(spark, path, named(ext)), part, ["path", "ext"])
         name = "sheet" if part.endswith(".rows") else "idx"
         rows = rows.select("path", "ext", F.col(name).cast("string").alias("table"), "row", "cells")
         out = rows if out is None else out.unionByName(rows)

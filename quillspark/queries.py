@@ -69,15 +69,13 @@ def supported_extensions(spark, sf_dir):
 @query("SELECT string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) AS csv FROM region")
 def region_csv(spark, sf_dir):
     rows = table(spark, sf_dir, "region").select("r_regionkey", C.csv_line("r_regionkey", "r_name").alias("line"))
-    rows.createOrReplaceTempView("quill_region_lines")
-    return spark.sql("SELECT listagg(line, '\n') WITHIN GROUP (ORDER BY r_regionkey) AS csv FROM quill_region_lines")
+    return spark.sql("SELECT listagg(line, '\n') WITHIN GROUP (ORDER BY r_regionkey) AS csv FROM {rows}", rows=rows)
 
 
 @query("SELECT string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation")
 def nation_markdown(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", C.md_line("n_nationkey", "n_name").alias("line"))
-    rows.createOrReplaceTempView("quill_nation_lines")
-    return spark.sql("SELECT listagg(line, '\n') WITHIN GROUP (ORDER BY n_nationkey) AS markdown FROM quill_nation_lines")
+    return spark.sql("SELECT listagg(line, '\n') WITHIN GROUP (ORDER BY n_nationkey) AS markdown FROM {rows}", rows=rows)
 
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(props, '[,"\\r\\n]') THEN '"' || replace(props, '"', '""') || '"' ELSE coalesce(props, '') END AS csv,
@@ -275,6 +273,19 @@ def shapes_to_front(spark, sf_dir):
     return restructure.z_order(s, F.col("z") == 2, "front", ["l_orderkey"])
 
 
+for _to, _target, _between in (
+    ("back", "low", "WHEN z < 2 THEN z + 1"), ("forward", "least(3, top)", "WHEN z > 2 AND z <= least(3, top) THEN z - 1"), ("backward", "greatest(1, low)", "WHEN z < 2 AND z >= greatest(1, low) THEN z + 1"),
+):
+
+    def _moved(spark, sf_dir, to=_to):
+        s = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("z"), "l_partkey")
+        return restructure.z_order(s, F.col("z") == 2, to, ["l_orderkey"])
+
+    _moved.__name__ = f"shapes_{_to}"
+    query(f"""WITH s AS (SELECT l_orderkey, l_linenumber AS z, l_partkey FROM lineitem), t AS (SELECT *, max(z) OVER w AS top, min(z) OVER w AS low, max(CASE WHEN z = 2 THEN z END) OVER w AS place FROM s WINDOW w AS (PARTITION BY l_orderkey))
+ SELECT l_orderkey, l_partkey, (CASE WHEN place IS NULL THEN z WHEN z = 2 THEN {_target} {_between} ELSE z END)::INT AS z FROM t""")(_moved)
+
+
 @query("""WITH f AS (SELECT user_id, event_id, value > 50 AS m, lag(value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
  i AS (SELECT user_id, event_id, m, sum(CASE WHEN coalesce(m, false) AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM f)
  SELECT user_id, event_id, island::BIGINT AS island FROM i WHERE m""")
@@ -283,7 +294,11 @@ def table_islands(spark, sf_dir):
     return restructure.islands(e, F.col("value") > 50, ["user_id"], "event_id").select("user_id", "event_id", "island")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n FROM lineitem),
+ r AS (SELECT l_orderkey, l_linenumber, l_quantity, n, 1 AS page, l_quantity::DOUBLE AS y FROM l WHERE n = 1 UNION ALL
+  SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, l.n, CASE WHEN r.y > 0 AND r.y + l.l_quantity > 60 THEN r.page + 1 ELSE r.page END,
+   CASE WHEN r.y > 0 AND r.y + l.l_quantity > 60 THEN l.l_quantity ELSE r.y + l.l_quantity END::DOUBLE FROM r JOIN l ON l.l_orderkey = r.l_orderkey AND l.n = r.n + 1)
+ SELECT l_orderkey, l_linenumber, l_quantity, page::INT AS page, y FROM r""")
 def order_pages(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return restructure.paginated(lines, F.col("l_quantity"), 60.0, ["l_orderkey"], "l_linenumber")
@@ -303,7 +318,7 @@ def glyph_rows(spark, sf_dir):
 
 @query("SELECT doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def labels_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return lookups.looked_up(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""SELECT s_suppkey, coalesce(n_name, '#' || 'place' || s_suppkey) AS url FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2""")
@@ -317,8 +332,9 @@ def link_targets(spark, sf_dir):
 def spine_order(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("idref"))
     manifest = table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("idref"), F.col("p_name").alias("href"))
-    # every book has the same manifest here, so the file alone is the key
-    return items.join(manifest, "idref").select("book", "pos", "idref", "href")
+    # each book's manifest lists what it uses
+    own = items.select("book", "idref").distinct().join(manifest, "idref").withColumnRenamed("idref", "id")
+    return lookups.spine(items, own).select("book", "pos", "idref", "href")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

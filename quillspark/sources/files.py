@@ -26,13 +26,20 @@ def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
     return reader.load(path).select("path", "content", extension("path").alias("ext"))
 
 
+def named(*extensions: str) -> str:
+    """A pattern for files with one of these extensions, in any case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
 def _schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
 def _mapped(df: DataFrame, keep: list[str], content: str, schema: str, rows: Callable[[bytes], Iterator[dict]], errors: str) -> DataFrame:
-    """For each file the rows that it yields, beside the columns in keep. errors: raise, or null for a file
-    without rows where it can't be read."""
+    """For each file the rows that it yields, beside the columns in keep. errors: raise, or of a file that can't be read
+    to its end null (one row with nothing but the columns in keep) or skip (no row); its rows are held until its end then."""
+    if errors not in ("raise", "null", "skip"):
+        raise ValueError(errors)
     source = df.select(*keep, F.col(content).alias("_content"))
     kept = T.StructType([f for f in source.schema if f.name != "_content"])
     out = T.StructType([*kept.fields, *_schema(schema).fields])
@@ -47,14 +54,16 @@ def _mapped(df: DataFrame, keep: list[str], content: str, schema: str, rows: Cal
                     continue
                 own = {n: b.column(n)[i].as_py() for n in kept.names}
                 try:
-                    for r in rows(data):
-                        held.append({**{k: r.get(k) for k in arrow.names if k not in own}, **own})
-                        if len(held) >= BATCH_ROWS:
-                            yield _batch(held, arrow)
-                            held = []
+                    found = rows(data) if errors == "raise" else list(rows(data))
                 except Exception:
                     if errors == "raise":
                         raise
+                    found = [{}] if errors == "null" else []
+                for r in found:
+                    held.append({**{k: r.get(k) for k in arrow.names if k not in own}, **own})
+                    if len(held) >= BATCH_ROWS:
+                        yield _batch(held, arrow)
+                        held = []
             if held:
                 yield _batch(held, arrow)
 
@@ -79,7 +88,7 @@ def extract(df: DataFrame, part: str, keep: list[str] | None = None, content: st
 
 def read(spark: SparkSession, path: str, fmt: str, part: str | None = None, errors: str = "raise") -> DataFrame:
     """A part of all files of a format below a path."""
-    return extract(files(spark, path, f"*.{fmt}" if fmt != "cfb" else None), f"{fmt}.{part or DEFAULTS[fmt]}", errors=errors)
+    return extract(files(spark, path, named(fmt) if fmt != "cfb" else None), f"{fmt}.{part or DEFAULTS[fmt]}", errors=errors)
 
 
 def _texts(content: pd.Series, ext: pd.Series) -> pd.Series:
@@ -121,15 +130,16 @@ def read_table(cells: DataFrame, sheet: str | None = None, mode: str = "infer",
     """Cells of one kind of sheet as a table: the first row names the columns, a missing name is Column{i+1},
     cells beyond the header go. mode: infer (a type for each column by its cells), string, or variant.
 
-    The header is collected: one row of one sheet. Files must agree in it; others' columns are null.
+    The header is collected: one row of one sheet. Files must agree in it; others' columns are null. A column without a
+    name that stands before the last one with a name has a type like any other.
     """
     own = cells.where(F.col("sheet") == sheet) if sheet else cells
     top, below = F.col("row") == 0, F.col("row") > 0
     seen = F.collect_set(F.when(below & (F.col("kind") != "null"), F.col("kind"))).alias("kinds")
     # one row for each column of a sheet, which has 16,384 at most
-    head = own.groupBy("col").agg(F.min(F.when(top, F.col("value"))).alias("name"), F.max(top).alias("headed"), seen).where("headed").orderBy("col").limit(16384).collect()
+    head = own.groupBy("col").agg(F.min(F.when(top, F.col("value"))).alias("name"), F.max(top).alias("headed"), seen).orderBy("col").limit(16384).collect()
     names: dict[int, str] = {}
-    for i in range(max((r.col for r in head), default=-1) + 1):
+    for i in range(max((r.col for r in head if r.headed), default=-1) + 1):
         name = next((r.name for r in head if r.col == i and r.name), f"Column{i + 1}")
         names[i] = name if name not in names.values() else f"{name}_{i + 1}"
     kinds = {r.col: set(r.kinds) for r in head}

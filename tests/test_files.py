@@ -9,6 +9,7 @@ from quillspark.formats import docx, mail, markdown, pdf, pptx, rtf, xlsx
 from quillspark.plans import extraction
 from quillspark.sinks import documents, write_files
 from quillspark.sources import extract, files, read, read_markdown, read_table, read_text, register
+from quillspark.sources.files import _mapped
 from quillspark.sources.parts import PARTS
 from quillspark.streaming import ingest
 
@@ -50,7 +51,27 @@ def test_errors(spark, folder):
     bad = files(spark, folder, "*.docx")
     with pytest.raises(Exception, match="zip"):
         extract(bad, "docx.paragraphs").collect()
-    assert [r.text for r in extract(bad, "docx.paragraphs", errors="null").collect()] == ["hello", "x", "y"]
+    assert [r.text for r in extract(bad, "docx.paragraphs", errors="skip").collect()] == ["hello", "x", "y"]
+    rows = extract(bad, "docx.paragraphs", errors="null").collect()
+    assert sorted((r.path.rpartition("/")[2], r.text or "") for r in rows) == [("bad.docx", ""), ("doc.docx", "hello"), ("doc.docx", "x"), ("doc.docx", "y")]
+
+
+def test_broken_midway(spark):
+    """Nothing of a file whose rows break off, but for its own row."""
+
+    def rows(data):
+        yield {"n": 1}
+        if data == b"bad":
+            raise ValueError("broken")
+
+    df = spark.createDataFrame([("a", b"good"), ("b", b"bad")], "path string, content binary")
+    got = {e: sorted((r.path, r.n) for r in _mapped(df, ["path"], "content", "n int", rows, e).collect()) for e in ("null", "skip")}
+    assert got == {"null": [("a", 1), ("b", None)], "skip": [("a", 1)]}
+
+
+def test_extensions_in_any_case(spark, folder):
+    assert {r.path.rpartition("/")[2] for r in read(spark, folder, "xlsx").collect()} == {"one.xlsx", "two.XLSX"}
+    assert {r.path.rpartition("/")[2] for r in extraction.tables(spark, folder + "/sub").collect()} == {"two.XLSX"}
 
 
 def test_unified(spark, folder):
