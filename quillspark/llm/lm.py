@@ -18,9 +18,9 @@ UNK, END_ID, START = 0, 1, 2  # of the model's vocabulary
 LEAST_COUNT = 20  # of a word of the model
 FEWEST_WORDS = 2045  # of the model: a small corpus has its most frequent words, however rare
 MOST_WORDS = (1 << 15) - 3  # of the model, which goes to every task and is normalised over for every token
-CONTEXT = 6  # tokens before a word that its probability depends on
+CONTEXT = 5  # tokens before a word that its probability depends on
 DIMS = 8
-NOISE = 32
+NOISE = 24
 OWN_NOISE = 2  # noise words from the target's class
 BLOCK = 1024  # rows of parameters that are averaged together
 CHUNK = 512  # tokens scored by one matrix product
@@ -202,11 +202,12 @@ class Model:
 def _log_softmax(h: np.ndarray, q: np.ndarray, target: np.ndarray) -> np.ndarray:
     s = h @ q.T
     own = s[np.arange(len(s)), target].astype(np.float64)
-    if (m := s.max(initial=0)) > 80 or s.min(initial=0) < -80:
+    with np.errstate(over="ignore", divide="ignore"):
+        out = own - np.log(np.exp(s).sum(1))
+    if not np.isfinite(out).all():  # too large or too small for exp
         m = s.max(1, keepdims=True)
-        return own - np.log(np.exp(s - m).sum(1, dtype=np.float64)) - m[:, 0]
-    np.exp(s, out=s)
-    return own - np.log(s.sum(1))
+        out = own - np.log(np.exp(s - m).sum(1, dtype=np.float64)) - m[:, 0]
+    return out
 
 
 def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
