@@ -110,13 +110,13 @@ def _freed() -> None:
         pass
 
 
-def lean(function: Callable, column: str | None) -> Callable:
+def lean(function: Callable, column: str | None, most: int = SLICE_BYTES) -> Callable:
     """A function of batches that gets them in slices of bounded bytes of a column, and whose memory is given back."""
 
     @functools.wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from function(sliced(batches, column) if column else batches)
+            yield from function(sliced(batches, column, most) if column else batches)
         finally:
             _freed()
 

@@ -19,6 +19,7 @@ from .common import dropped, lean, stored
 LENGTH = 4096
 STEP = 4  # lengths are rounded up to this for the histogram, so a combination wastes less than 3 * STEP
 END_ID = 2
+SLICE = 1 << 19  # bytes of texts encoded together: what is made of them stays in a processor's cache
 
 
 # Characters whose normalisation, case and class don't depend on their neighbours or on a Unicode version.
@@ -44,8 +45,8 @@ class Encoder:
 
     Where the tokenizer's own description says that it lower-cases, splits by a pattern and then merges bytes, simple
     texts are split here; the pieces of a batch that aren't known yet go to the tokenizer's model together. All
-    else goes through the tokenizer, part by part. When too many pieces are known, or too long ones, those of the batch
-    stay.
+    else goes through the tokenizer, part by part. When too many pieces are known, or too long ones, all are
+    forgotten.
     """
 
     MOST = 600_000
@@ -97,12 +98,11 @@ class Encoder:
                 out += self.split.findall(part.lower()) if self._is_simple(part, self.simple) else [" " + part]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
+    def _learn(self, new: list[str]) -> None:
         self.letters_known += sum(map(len, new))
         if len(self.known) + len(new) > self.MOST or self.letters_known > self.MOST_LETTERS:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-            self.letters_known = sum(map(len, pieces))
+            self.known.clear()
+            self.letters_known = sum(map(len, new))
         for part in [p for p in new if p[0] == " "]:
             self.known[part] = np.array(self.tokenizer.encode(part[1:], add_special_tokens=False).ids, dtype="<u2").tobytes()
         merged = [p for p in new if p[0] != " "]
@@ -114,10 +114,22 @@ class Encoder:
             self.known.update(zip(block, (data[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        end = np.uint16(END_ID).tobytes()
-        found = [self._pieces(t) for t in texts]
-        self._learn(set().union(*found))
-        return [b"".join(map(self.known.__getitem__, pieces)) + end for pieces in found]
+        end, get = np.uint16(END_ID).tobytes(), self.known.get
+        rows, open_, new = [], [], set()
+        for t in texts:
+            pieces = self._pieces(t)
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing = [(i, pieces[i]) for i, x in enumerate(ids) if x is None]
+                new.update(p for _, p in missing)
+                open_.append((ids, missing))
+            ids.append(end)
+            rows.append(ids)
+        self._learn(list(new))
+        for ids, missing in open_:
+            for i, p in missing:
+                ids[i] = self.known[p]
+        return list(map(b"".join, rows))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -135,7 +147,7 @@ def encoded(documents: DataFrame, keep: list[str], tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n", "ids"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(lean(encode, "_text"), f"{fields}n bigint, ids binary")
+    return rows.mapInArrow(lean(encode, "_text", SLICE), f"{fields}n bigint, ids binary")
 
 
 def combinations(histogram: np.ndarray) -> np.ndarray:
