@@ -3,13 +3,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from quillspark.llm import packing as P
 
 from .helpers import DOCS, odd_documents
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @functools.cache
