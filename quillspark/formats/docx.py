@@ -101,6 +101,22 @@ class Document:
                 out[r["type"]].append("\n".join(t for p in every(root, "p") if (t := paragraph_text(p))))
         return out
 
+    def notes(self) -> dict[str, list[str]]:
+        """Texts of footnotes and endnotes; separators, which have a type, aren't notes."""
+        out: dict[str, list[str]] = {"footnote": [], "endnote": []}
+        for r in self.rels.values():
+            kind = r["type"].removesuffix("s")
+            if kind in out and (root := self.pkg.xml(r["target"])) is not None:
+                out[kind] += ["\n".join(paragraph_text(p) for p in every(n, "p")) for n in every(root, kind) if attr(n, "type") in (None, "normal")]
+        return out
+
+
+def plain(block: dict) -> str:
+    """A block's text; cells are set apart by tabs, rows and blocks by line feeds."""
+    if block["kind"] == "table":
+        return "\n".join("\t".join("\n".join(map(plain, c["blocks"])) for c in r) for r in block["rows"])
+    return "\n".join(map(plain, block["blocks"])) if block["kind"] == "control" else block["text"]
+
 
 def heading_level(style: str | None) -> int:
     """1 to 6 of a heading style's id, else 0."""
@@ -154,6 +170,15 @@ def html(data: bytes, title: str = "", images: bool = False) -> str:
     return f'<!DOCTYPE html>\n<html>\n<head><meta charset="utf-8"/><title>{html_escape(title)}</title></head>\n<body>\n{"".join(map(one, d.blocks()))}</body>\n</html>\n'
 
 
+SIDES = ("top", "left", "bottom", "right", "insideH", "insideV")
+
+
+def borders(style: str = "single", color: str | None = None, width: int = 4, inside: bool = True) -> dict[str, dict]:
+    """Lines of a table's sides: one for all, or with inside False for the outline alone. width: eighths of a point."""
+    line = {"style": style, "color": color, "width": width}
+    return {s: line if inside or not s.startswith("inside") else {"style": "none"} for s in SIDES}
+
+
 class Writer:
     """Collects blocks and emits the package."""
 
@@ -163,6 +188,7 @@ class Writer:
         self.media: dict[str, bytes] = {}
         self.properties: dict[str, str] = {}
         self.bookmarks = 0
+        self.footnotes: list[str] = []
         self.section = {"width": 11906, "height": 16838, "margin": 1440, "header": None, "footer": None}
 
     def _rel(self, kind: str, target: str, external: bool = False) -> str:
@@ -206,6 +232,12 @@ class Writer:
         self._raw(f"<w:hyperlink {at}>{self.run(text_, underline=True, color='0563C1')}</w:hyperlink>")
         return self
 
+    def footnote(self, text_: str, note: str) -> Writer:
+        """A paragraph with a note at its end."""
+        self.footnotes.append(note)
+        self._raw(f'{self.run(text_)}<w:r><w:footnoteReference w:id="{len(self.footnotes)}"/></w:r>')
+        return self
+
     def bookmark(self, text_: str, name: str) -> Writer:
         self.bookmarks += 1
         self._raw(f'<w:bookmarkStart w:id="{self.bookmarks}" w:name={qattr(name)}/>{self.run(text_)}<w:bookmarkEnd w:id="{self.bookmarks}"/>')
@@ -238,9 +270,11 @@ class Writer:
         self.body.append(f"<w:sdt><w:sdtPr><w:alias w:val={qattr(alias)}/>{own}</w:sdtPr><w:sdtContent><w:p>{self.run(value)}</w:p></w:sdtContent></w:sdt>")
         return self
 
-    def table(self, rows: list[list], header: bool = True) -> Writer:
+    def table(self, rows: list[list], header: bool = True, lines: dict[str, dict] | None = None) -> Writer:
+        """lines: by side, as borders() makes them; all sides by default."""
         width = max((len(r) for r in rows), default=0)
-        edge = "".join(f'<w:{s} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for s in ("top", "left", "bottom", "right", "insideH", "insideV"))
+        lines = borders() if lines is None else lines
+        edge = "".join(f'<w:{s} w:val="{lines[s].get("style", "single")}" w:sz="{lines[s].get("width", 4)}" w:space="0" w:color="{lines[s].get("color") or "auto"}"/>' for s in SIDES if s in lines)
         body = ""
         for k, r in enumerate(rows):
             cells = "".join(f"<w:tc><w:tcPr/><w:p>{self.run(K.text_of(v), bold=header and k == 0)}</w:p></w:tc>" for v in [*r, *[None] * (width - len(r))])
@@ -282,6 +316,11 @@ class Writer:
                 parts[f"word/{kind}1.xml"] = f'{HEAD}<w:{tag} xmlns:w="{W}"><w:p>{self.run(self.section[kind])}</w:p></w:{tag}>'
                 types[f"word/{kind}1.xml"] = word + f"{kind}+xml"
                 refs += f'<w:{kind}Reference w:type="default" r:id="{rid}"/>'
+        if self.footnotes:
+            self._rel("footnotes", "footnotes.xml")
+            notes = "".join(f'<w:footnote w:id="{k}"><w:p>{self.run(t)}</w:p></w:footnote>' for k, t in enumerate(self.footnotes, 1))
+            parts["word/footnotes.xml"] = f'{HEAD}<w:footnotes xmlns:w="{W}"><w:footnote w:type="separator" w:id="0"><w:p><w:r><w:separator/></w:r></w:p></w:footnote>{notes}</w:footnotes>'
+            types["word/footnotes.xml"] = word + "footnotes+xml"
         s = self.section
         m = s["margin"]
         section = f'<w:sectPr>{refs}<w:pgSz w:w="{s["width"]}" w:h="{s["height"]}"/><w:pgMar w:top="{m}" w:right="{m}" w:bottom="{m}" w:left="{m}" w:header="720" w:footer="720" w:gutter="0"/></w:sectPr>'

@@ -718,6 +718,7 @@ class Writer:
         self.files: list[tuple[str, bytes]] = []
         self.images: list[tuple[bytes, int, int]] = []
         self.form: list[dict] = []
+        self.opacities: list[float] = []
         self.y = 0.0
 
     def page(self) -> Writer:
@@ -764,6 +765,20 @@ class Writer:
         self._ops().append(f"{_number(width)} w {_number(x1)} {_number(self.height - y1)} m {_number(x2)} {_number(self.height - y2)} l S".encode())
         return self
 
+    def opacity(self, share: float) -> Writer:
+        """What is drawn from here on this page lets 1 - share of the ground through."""
+        if share not in self.opacities:
+            self.opacities.append(share)
+        self._ops().append(f"/G{self.opacities.index(share) + 1} gs".encode())
+        return self
+
+    def set_field(self, name: str, value: str) -> bool:
+        """Sets a field's value; False where there is no such field."""
+        found = next((f for f in self.form if f["name"] == name), None)
+        if found:
+            found["value"] = value
+        return found is not None
+
     def rect(self, x: float, y: float, w: float, h: float, fill: tuple[float, float, float] | None = None) -> Writer:
         paint = f"{' '.join(map(_number, fill))} rg " if fill else ""
         self._ops().append(f"q {paint}{_number(x)} {_number(self.height - y - h)} {_number(w)} {_number(h)} re {'f' if fill else 'S'} Q".encode())
@@ -885,7 +900,8 @@ class Writer:
         f3 = add(f"<< /Type /Font /Subtype /Type0 /BaseFont /STSong-Light /Encoding /UniGB-UCS2-H /DescendantFonts [{cid} 0 R] /ToUnicode {to} 0 R >>")
         pictures = [stream(j, f" /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode", packed=False) for j, w, h in self.images]
         xobjects = " ".join(f"/I{i + 1} {n} 0 R" for i, n in enumerate(pictures))
-        resources = f"<< /Font << /F1 {f1} 0 R /F2 {f2} 0 R /F3 {f3} 0 R >> /XObject << {xobjects} >> >>"
+        states = " ".join(f"/G{i + 1} << /Type /ExtGState /ca {_number(a)} /CA {_number(a)} >>" for i, a in enumerate(self.opacities))
+        resources = f"<< /Font << /F1 {f1} 0 R /F2 {f2} 0 R /F3 {f3} 0 R >> /XObject << {xobjects} >> /ExtGState << {states} >> >>"
         ids, fields = [], []
         for k, p in enumerate(self.pages):
             body = stream(b"\n".join(p["ops"]))
@@ -934,6 +950,60 @@ class Writer:
         return bytes(out)
 
 
+def text_width(s: str, size: float) -> float:
+    """About what a text takes: half its size for a Latin letter, all of it for a wide one."""
+    return size * sum(1.0 if ord(c) > 0x2E7F else 0.5 for c in s)
+
+
+class Flow(Writer):
+    """A document that flows: wrapped text, gaps, tables, and whatever a caller draws, with page numbers if wanted."""
+
+    def __init__(self, *args, numbered: bool = False, **options):
+        super().__init__(*args, **options)
+        self.numbered = numbered
+
+    def text(self, s: str, size: float = 12, bold: bool = False) -> Flow:
+        """Lines broken between words, or within one that is wider than the page."""
+        room = self.width - 2 * self.margin
+        for line in s.split("\n"):
+            held = ""
+            for word in re.findall(r"\S+\s*|\s+", line):
+                if held and text_width((held + word).rstrip(), size) > room:
+                    self.line_of(held.rstrip(), size, bold)
+                    held = ""
+                while text_width(word.rstrip(), size) > room:
+                    n = max(1, next(i for i in range(1, len(word) + 1) if text_width(word[:i], size) > room) - 1)
+                    self.line_of(word[:n], size, bold)
+                    word = word[n:]
+                held += word
+            self.line_of(held.rstrip(), size, bold)
+        return self
+
+    def gap(self, height: float) -> Flow:
+        self._ops()
+        self.y += height
+        return self
+
+    def component(self, draw: Callable[[Flow], None]) -> Flow:
+        """Whatever a caller draws at the place reached."""
+        self._ops()
+        draw(self)
+        return self
+
+    def save(self) -> bytes:
+        if self.numbered:
+            for k, p in enumerate(self.pages, 1):
+                s = f"{k} / {len(self.pages)}"
+                p["ops"].append(f"BT /F1 9 Tf {_number((self.width - text_width(s, 9)) / 2)} {_number(self.margin / 2)} Td <{s.encode().hex()}> Tj ET".encode())
+            self.numbered = False
+        return super().save()
+
+
+def images_of_pages(data: bytes) -> list[bytes]:
+    """Pages as pictures aren't offered: it takes a renderer."""
+    raise NotImplementedError("pages can't be rendered as pictures")
+
+
 def xmp(info: dict[str, str]) -> str:
     """The metadata packet of a document's information."""
     from .xml import esc
@@ -993,6 +1063,19 @@ def overlaid(data: bytes, line: str, x: float = 100, y: float = 400, size: float
     return w.save()
 
 
+def overlaid_image(data: bytes, jpeg: bytes, x: float, y: float, w: float, h: float, opacity: float = 1.0) -> bytes:
+    """The text pages with a picture over each."""
+    out = Writer()
+    for t in Document(data).page_texts():
+        out.page()
+        for row in t.split("\n"):
+            out.line_of(row)
+        if opacity < 1:
+            out.opacity(opacity)
+        out.image(jpeg, x, y, w, h)
+    return out.save()
+
+
 def from_markdown(doc: dict) -> bytes:
     from . import markdown as M
 

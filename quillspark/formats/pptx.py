@@ -101,6 +101,21 @@ LAYOUTS = {
 }
 
 
+def table_row(rows: list[list[str]], cells: list[str]) -> list[list[str]]:
+    """A table's rows with one more behind them."""
+    return [*rows, list(cells)]
+
+
+def table_without(rows: list[list[str]], index: int) -> list[list[str]]:
+    """A table's rows without one; as they are where there is none at that place."""
+    return [r for i, r in enumerate(rows) if i != index]
+
+
+def table_column(rows: list[list[str]], index: int, header: str | None = None) -> list[list[str]]:
+    """A table's rows with an empty column at a place, or behind shorter rows; header names it in the first row."""
+    return [[*r[:index], (header or "") if i == 0 else "", *r[index:]] for i, r in enumerate(rows)]
+
+
 class Writer:
     """Collects slides and emits the package. Places are EMU."""
 
@@ -108,6 +123,7 @@ class Writer:
         self.size = (width, height)
         self.slides: list[dict] = []
         self.properties: dict[str, str] = {}
+        self.layouts: list[tuple[str, str]] = []
         self.accents: list[str] = ["4472C4", "ED7D31", "A5A5A5", "FFC000", "5B9BD5", "70AD47"]
 
     def slide(self, layout: str = "blank", **texts: str) -> int:
@@ -120,6 +136,11 @@ class Writer:
                 self.text(k, texts[role], int(x * w), int(y * h), int(a * w), int(b * h), size=32 if role == "title" else 20)
         return k
 
+    def layout(self, name: str, kind: str = "blank") -> int:
+        """A layout of the master beside its first one, which is blank. Returns its number, from 1."""
+        self.layouts.append((name, kind))
+        return len(self.layouts)
+
     def _put(self, k: int, xml: str) -> None:
         self.slides[k]["shapes"].append(xml)
 
@@ -212,8 +233,13 @@ class Writer:
         parts["ppt/presentation.xml"] = f'{HEAD}<p:presentation {ns}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>{listed}</p:sldIdLst><p:sldSz cx="{w}" cy="{h}"/><p:notesSz cx="{h}" cy="{w}"/></p:presentation>'
         parts["ppt/_rels/presentation.xml.rels"] = relationships([("rId1", "slideMaster", "slideMasters/slideMaster1.xml"), *((f"rId{k + 1}", "slide", f"slides/slide{k}.xml") for k in range(1, n + 1)), (f"rId{n + 2}", "theme", "theme/theme1.xml")])
         clr = 'bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" accent1="accent1" accent2="accent2" accent3="accent3" accent4="accent4" accent5="accent5" accent6="accent6" hlink="hlink" folHlink="folHlink"'
-        parts["ppt/slideMasters/slideMaster1.xml"] = f'{HEAD}<p:sldMaster {ns}><p:cSld name="Master"><p:spTree>{empty}</p:spTree></p:cSld><p:clrMap {clr}/><p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rId1"/></p:sldLayoutIdLst></p:sldMaster>'
-        parts["ppt/slideMasters/_rels/slideMaster1.xml.rels"] = relationships([("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), ("rId2", "theme", "../theme/theme1.xml")])
+        own = [("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), *((f"rIdL{i}", "slideLayout", f"../slideLayouts/slideLayout{i}.xml") for i in range(2, len(self.layouts) + 2))]
+        for i, (name, kind) in enumerate(self.layouts, 2):
+            parts[f"ppt/slideLayouts/slideLayout{i}.xml"] = f'{HEAD}<p:sldLayout {ns} type={qattr(kind)}><p:cSld name={qattr(name)}><p:spTree>{empty}</p:spTree></p:cSld></p:sldLayout>'
+            parts[f"ppt/slideLayouts/_rels/slideLayout{i}.xml.rels"] = relationships([("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")])
+            types[f"ppt/slideLayouts/slideLayout{i}.xml"] = base + "slideLayout+xml"
+        parts["ppt/slideMasters/slideMaster1.xml"] = f'{HEAD}<p:sldMaster {ns}><p:cSld name="Master"><p:spTree>{empty}</p:spTree></p:cSld><p:clrMap {clr}/><p:sldLayoutIdLst>{"".join(f'<p:sldLayoutId id="{2147483649 + i}" r:id="{r}"/>' for i, (r, *_) in enumerate(own))}</p:sldLayoutIdLst></p:sldMaster>'
+        parts["ppt/slideMasters/_rels/slideMaster1.xml.rels"] = relationships([*own, ("rId2", "theme", "../theme/theme1.xml")])
         parts["ppt/slideLayouts/slideLayout1.xml"] = f'{HEAD}<p:sldLayout {ns}><p:cSld name="Blank"><p:spTree>{empty}</p:spTree></p:cSld></p:sldLayout>'
         parts["ppt/slideLayouts/_rels/slideLayout1.xml.rels"] = relationships([("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")])
         scheme = "".join(f'<a:{t}><a:srgbClr val="{c}"/></a:{t}>' for t, c in (("dk1", "000000"), ("lt1", "FFFFFF"), ("dk2", "44546A"), ("lt2", "E7E6E6"), *((f"accent{i}", c) for i, c in enumerate(self.accents, 1)), ("hlink", "0563C1"), ("folHlink", "954F72")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import hashlib
 import re
 from collections.abc import Iterator
 from decimal import Decimal
 
 from ..functions import kernels as K
-from .xml import HEAD, OFFICE_NS, Package, attr, children, content_types, core_properties, esc, every, find, local, package, parse as parse_xml, qattr, relationships
+from .xml import HEAD, OFFICE_NS, Package, attr, children, content_types, core_properties, esc, every, find, local, package, parse as parse_xml, qattr, read_core, relationships
 from .xml import text as inner
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -35,6 +37,9 @@ class Workbook:
         self.codes = {int(n.get("numFmtId", 0)): n.get("formatCode", "") for n in every(find(self.styles, "numFmts"), "numFmt")}
         self.formats = [int(x.get("numFmtId", 0)) for x in children(find(self.styles, "cellXfs"), "xf")]
 
+    def properties(self) -> dict[str, str]:
+        return read_core(self.pkg)
+
     def sheet(self, name: str | None):
         """The sheet's tree; the first by default, an unknown name raises KeyError."""
         if name is None:
@@ -256,7 +261,7 @@ class Workbook:
         return {
             "number_format": self.codes.get(number), "number_format_id": number, "font_name": val(font, "name"), "font_size": float(val(font, "sz") or 0) or None, "bold": find(font, "b") is not None,
             "italic": find(font, "i") is not None, "underline": find(font, "u") is not None, "font_color": K.rgb(val(font, "color", "rgb")), "fill": K.rgb(fg.get("rgb")) if fg is not None else None,
-            "border": {local(e): e.get("style") for e in (border if border is not None else ()) if e.get("style")}, "horizontal": align.get("horizontal") if align is not None else None, "wrap": align is not None and align.get("wrapText") == "1",
+            "border": {local(e): e.get("style") for e in (border if border is not None else ()) if e.get("style")}, "horizontal": align.get("horizontal") if align is not None else None, "vertical": align.get("vertical") if align is not None else None, "wrap": align is not None and align.get("wrapText") == "1",
         }
 
     def pivots(self, name: str) -> list[dict]:
@@ -339,6 +344,7 @@ class Writer:
         self.hidden: set[str] = set()
         self.workbook_password: str | None = None
         self.pivots: list[dict] = []
+        self.calculation: dict[str, str] = {}
 
     def pivot(self, sheet: str, source: str, header: list[str], rows: list[list], row_fields: list[str], data_fields: list[tuple[str, str]], column_fields: list[str] = (), filter_fields: list[str] = (), anchor: str = "A3") -> None:
         """A pivot table of a source sheet's rows; the reader of the workbook computes it when it is opened. Field
@@ -383,11 +389,13 @@ class Writer:
         return self.data.setdefault(name, [])
 
     def style(self, **options) -> int:
-        """A cell style: number_format, bold, italic, underline, size, color, fill, border, horizontal, wrap."""
+        """A cell style: number_format, bold, italic, underline, size, color, fill, border, horizontal, vertical, wrap. border: a
+        line for all four sides, or lines by side."""
         self.custom.append(options)
         return len(_STYLES) + len(self.custom) - 1
 
-    def cell(self, ref: str, value, style: int | None = None) -> str:
+    def cell(self, ref: str, value, style: int | None = None, exact: bool = False) -> str:
+        """A cell's markup. exact: a text stays text and a number a number, whatever they look like."""
         own = lambda kind: f' s="{_INDEX[kind] if style is None else style}"'
         given = f' s="{style}"' if style is not None else ""
         if isinstance(value, Formula):
@@ -407,10 +415,10 @@ class Writer:
             return self.cell(ref, "", style) if value < K.EPOCH.date() else f'<c r="{ref}"{own("date")}><v>{(value - K.EPOCH.date()).days + 2}</v></c>'
         if isinstance(value, dt.timedelta):
             return f'<c r="{ref}"{own("time")}><v>{value.total_seconds() / 86400!r}</v></c>'
-        if isinstance(value, str) and (p := K.percent(value)) is not None:
+        if not exact and isinstance(value, str) and (p := K.percent(value)) is not None:
             return f'<c r="{ref}"{own("percent")}><v>{p!r}</v></c>'
         if isinstance(value, int | float | Decimal):
-            if isinstance(value, float) and not (value == value and abs(value) != float("inf")) or K.written_as_text(value):
+            if isinstance(value, float) and not (value == value and abs(value) != float("inf")) or not exact and K.written_as_text(value):
                 value = K.text_of(value)
             else:
                 return f'<c r="{ref}"{given}><v>{K.text_of(value)}</v></c>'
@@ -434,11 +442,11 @@ class Writer:
 
     def put(self, key: str, value, sheet: str | None = None) -> None:
         """Layout and attached objects: widths, heights, merges, freeze, filter, links, comments, validations,
-        formats, tables, images, setup, tab, password, outlines, sparklines, charts."""
+        formats, tables, images, setup, tab, password, lock (attributes of a protection), outlines, sparklines, charts."""
         name = sheet or next(iter(self.data), "Sheet1")
         self._sheet(name)
         meta = self.meta[name]
-        if key in ("freeze", "filter", "tab", "password", "setup", "print_area", "print_titles"):
+        if key in ("freeze", "filter", "tab", "password", "lock", "setup", "print_area", "print_titles"):
             meta[key] = value
         elif isinstance(value, dict) and key in ("widths", "heights", "links", "column_outlines", "row_outlines"):
             meta.setdefault(key, {}).update(value)
@@ -452,15 +460,18 @@ class Writer:
             xfs.append(f'<xf numFmtId="{n}" fontId="0" fillId="0" borderId="0" xfId="0" applyNumberFormat="1"/>')
         at = lambda xs, x: xs.index(x) if x in xs else (xs.append(x), len(xs) - 1)[1]
         for o in self.custom:
-            number = 0
+            number = o.get("number_format_id") or 0
             if o.get("number_format"):
                 number = next((k for k, c in codes.items() if c == o["number_format"]), None) or max([165, *codes]) + 1
                 codes[number] = o["number_format"]
             font = "<font>" + "".join(f"<{t}/>" for k, t in (("bold", "b"), ("italic", "i"), ("underline", "u")) if o.get(k)) + f'<sz val="{o.get("size", 11):g}"/>' + (f'<color rgb="FF{o["color"]}"/>' if o.get("color") else "") + f"<name val={qattr(o.get('font', 'Calibri'))}/></font>"
             fill = f'<fill><patternFill patternType="solid"><fgColor rgb="FF{o["fill"]}"/></patternFill></fill>' if o.get("fill") else fills[0]
-            side = lambda s, b=o.get("border"): f'<{s} style="{b}"><color auto="1"/></{s}>' if b else f"<{s}/>"
+            lines = o.get("border") or {}
+            lines = lines if isinstance(lines, dict) else dict.fromkeys(("left", "right", "top", "bottom"), lines)
+            side = lambda s, b=lines: f'<{s} style="{b[s]}"><color auto="1"/></{s}>' if b.get(s) else f"<{s}/>"
             border = "<border>" + "".join(map(side, ("left", "right", "top", "bottom"))) + "<diagonal/></border>"
-            align = f'<alignment{f" horizontal={qattr(o["horizontal"])}" if o.get("horizontal") else ""}{" wrapText=\"1\"" if o.get("wrap") else ""}/>' if o.get("horizontal") or o.get("wrap") else ""
+            align = "".join(f" {k}={qattr(o[k])}" for k in ("horizontal", "vertical") if o.get(k)) + (' wrapText="1"' if o.get("wrap") else "")
+            align = f"<alignment{align}/>" if align else ""
             xfs.append(f'<xf numFmtId="{number}" fontId="{at(fonts, font)}" fillId="{at(fills, fill)}" borderId="{at(borders, border)}" xfId="0" applyNumberFormat="1" applyFont="1" applyFill="1" applyBorder="1">{align}</xf>')
         group = lambda tag, xs: f'<{tag} count="{len(xs)}">{"".join(xs)}</{tag}>'
         numbers = group("numFmts", [f'<numFmt numFmtId="{n}" formatCode={qattr(c)}/>' for n, c in codes.items()])
@@ -481,6 +492,8 @@ class Writer:
             f'<row r="{i + 1}"{f" ht=\"{heights[i]:g}\" customHeight=\"1\"" if i in heights else ""}{f" outlineLevel=\"{outlines[i]}\"" if i in outlines else ""}>{cells}</row>' for i, cells in enumerate(self.data[name]) if cells or i in heights or i in outlines
         )
         lock = f'<sheetProtection sheet="1" objects="1" scenarios="1"{f" password=\"{password_hash(m["password"]):04X}\"" if m["password"] else ""}/>' if "password" in m else ""
+        if m.get("lock"):
+            lock = "<sheetProtection" + "".join(f" {a}={qattr(v)}" for a, v in m["lock"].items()) + "/>"
         auto = f"<autoFilter ref={qattr(m['filter'])}/>" if m.get("filter") else ""
         merged = f'<mergeCells count="{len(m["merges"])}">' + "".join(f"<mergeCell ref={qattr(r)}/>" for r in m["merges"]) + "</mergeCells>" if m.get("merges") else ""
         formats = "".join(conditional(f, i + 1) for i, f in enumerate(m.get("formats", ())))
@@ -580,7 +593,8 @@ class Writer:
         caches = "".join(f'<pivotCache cacheId="{k}" r:id="rIdC{k}"/>' for k in range(1, len(self.pivots) + 1))
         caches = f"<pivotCaches>{caches}</pivotCaches>" if caches else ""
         lock = f'<workbookProtection lockStructure="1"{f" workbookPassword=\"{password_hash(self.workbook_password):04X}\"" if self.workbook_password else ""}/>' if self.workbook_password is not None else ""
-        parts["xl/workbook.xml"] = f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE_NS}/relationships">{lock}<sheets>{listed}</sheets>{f"<definedNames>{names}</definedNames>" if names else ""}{caches}</workbook>'
+        calc = "<calcPr" + "".join(f" {a}={qattr(v)}" for a, v in self.calculation.items()) + "/>" if self.calculation else ""
+        parts["xl/workbook.xml"] = f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE_NS}/relationships">{lock}<sheets>{listed}</sheets>{f"<definedNames>{names}</definedNames>" if names else ""}{calc}{caches}</workbook>'
         n = len(self.data)
         rels = [(f"rId{k}", "worksheet", f"worksheets/sheet{k}.xml") for k in range(1, n + 1)] + [(f"rId{n + 1}", "styles", "styles.xml"), (f"rId{n + 2}", "sharedStrings", "sharedStrings.xml")]
         rels += [(f"rIdC{k}", "pivotCacheDefinition", f"pivotCache/pivotCacheDefinition{k}.xml") for k in range(1, len(self.pivots) + 1)]
@@ -602,6 +616,85 @@ def password_hash(password: str) -> int:
     return h ^ len(password) ^ 0xCE4B
 
 
+def lock_attributes(password: str, salt: bytes, spins: int = 100_000) -> dict[str, str]:
+    """A protection's attributes with the iterated SHA-512 verifier of a password."""
+    h = hashlib.sha512(salt + password.encode("utf-16-le")).digest()
+    for i in range(spins):
+        h = hashlib.sha512(h + i.to_bytes(4, "little")).digest()
+    code = lambda b: base64.b64encode(b).decode()
+    return {"algorithmName": "SHA-512", "hashValue": code(h), "saltValue": code(salt), "spinCount": str(spins), "sheet": "1"}
+
+
+def _area(r1: int, c1: int, r2: int, c2: int) -> str:
+    return f"{K.column_name(c1)}{r1 + 1}:{K.column_name(c2)}{r2 + 1}"
+
+
+# Names of a page's settings in a file and in the writer's setup.
+_SETUP = {"orientation": "orientation", "paperSize": "paper", "oddHeader": "head", "oddFooter": "foot", **{s: s for s in ("left", "right", "top", "bottom", "header", "footer")}}
+
+
+def snapshot(data: bytes) -> dict:
+    """All that is read of a workbook as one value: properties, names, protection, calculation, and its sheets with their
+    cells, styles, layout and objects."""
+    w = Workbook(data)
+    sheets_ = []
+    for n in w.sheets:
+        cells = list(w.cells(n))
+        levels = w.outlines(n)
+        sheets_.append({
+            "name": n, "state": w.states[n], "cells": cells, "styles": {k: w.cell_style(k) for k in sorted({c["style"] for c in cells} - {0})},
+            "merges": w.merges(n), "links": w.hyperlinks(n), "widths": w.widths(n), "heights": w.heights(n), "column_outlines": levels["columns"], "row_outlines": levels["rows"],
+            "freeze": w.freeze(n), "filter": w.auto_filter(n), "tab": w.tab_color(n), "lock": w.protection(n), "setup": w.page_setup(n), "comments": w.comments(n), "validations": w.validations(n),
+            "formats": w.conditional_formats(n), "tables": w.tables(n), "images": w.images(n), "charts": w.charts(n), "sparklines": w.sparklines(n), "pivots": w.pivots(n),
+        })
+    return {"properties": w.properties(), "names": w.names(), "protection": w.protection(), "calculation": w.calculation(), "sheets": sheets_}
+
+
+def from_snapshot(model: dict) -> bytes:
+    """A workbook from a snapshot, whose entries may be changed or left out. A pivot's rows are taken from the cells of its
+    source sheet; charts stand at the sheet's top left; a workbook's password isn't kept, only that it is locked."""
+    w = Writer()
+    w.properties, w.defined = dict(model.get("properties") or {}), dict(model.get("names") or {})
+    w.calculation = {k.rpartition("}")[2]: v for k, v in (model.get("calculation") or {}).items()}
+    w.workbook_password = "" if model.get("protection") is not None else None
+    for s in model["sheets"]:
+        name, rows = s["name"], w._sheet(s["name"])
+        known = {k: w.style(**{a: b for a, b in {**v, "size": v.get("font_size"), "font": v.get("font_name"), "color": v.get("font_color")}.items() if b}) for k, v in (s.get("styles") or {}).items()}
+        for c in s.get("cells") or ():
+            rows += [""] * (c["row"] + 1 - len(rows))
+            value = Formula(c["formula"], c.get("value")) if c.get("formula") else c.get("value")
+            if value is not None:
+                rows[c["row"]] += w.cell(f"{K.column_name(c['col'])}{c['row'] + 1}", value, known.get(c.get("style")), exact=True)
+        last = max([-1, *(s.get("heights") or ()), *(s.get("row_outlines") or ())])
+        rows += [""] * (last + 1 - len(rows))
+        if s.get("state", "visible") != "visible":
+            w.hidden.add(name)
+        for key in ("widths", "heights", "links", "column_outlines", "row_outlines", "freeze", "filter", "tab", "lock"):
+            if s.get(key):
+                w.put(key, s[key], name)
+        if setup := {_SETUP[k]: v for k, v in (s.get("setup") or {}).items() if k in _SETUP}:
+            w.put("setup", setup, name)
+        for m in s.get("merges") or ():
+            w.put("merges", _area(*m), name)
+        for key in ("comments", "validations", "tables", "charts", "sparklines"):
+            for x in s.get(key) or ():
+                w.put(key, x, name)
+        for f in s.get("formats") or ():
+            w.put("formats", {**f, "icons": len(f.get("stops") or ()) or 3}, name)
+        for i in s.get("images") or ():
+            w.put("images", {**i, "ext": i["name"].rpartition(".")[2].lower() or "png"}, name)
+    by_name = {s["name"]: s for s in model["sheets"]}
+    for s in model["sheets"]:
+        for p in s.get("pivots") or ():
+            source = by_name.get((p["source"] or "").rpartition("!")[0])
+            if source:
+                r1, c1, r2, c2 = K.range_ref(p["source"].rpartition("!")[2]) or (0, 0, 0, 0)
+                found = {(c["row"], c["col"]): c["value"] for c in source["cells"]}
+                grid = [[found.get((r, c)) for c in range(c1, c2 + 1)] for r in range(r1, r2 + 1)]
+                w.pivot(s["name"], source["name"], grid[0], grid[1:], p["rows"], [(d["field"], d["function"].capitalize()) for d in p["data"]], p["columns"], p["filters"])
+    return w.save()
+
+
 def validation(v: dict) -> str:
     """ref, type and items or operator, formula1, formula2."""
     first = '"' + ",".join(v["items"]) + '"' if v.get("items") is not None else v.get("formula1")

@@ -38,9 +38,9 @@ def tables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def converted(df: DataFrame, source: str, target: str, content: str = "content") -> DataFrame:
-    """df with the documents of its content column in another format: md to docx, pdf or html, docx to html or pdf,
-    sheets to sheets."""
-    from ..formats import docx, markdown, ods, pdf, registry, xls, xlsx
+    """df with the documents of its content column in another format: md to docx, pdf or html, docx to html, docx and
+    pptx to pdf with their layout, rtf and doc to pdf line by line, sheets to sheets."""
+    from ..formats import convert, docx, markdown, ods, pdf, registry, xls, xlsx
 
     def one(data: bytes) -> bytes:
         if source == "md":
@@ -48,7 +48,9 @@ def converted(df: DataFrame, source: str, target: str, content: str = "content")
             return {"docx": docx.from_markdown, "pdf": pdf.from_markdown, "html": lambda t: markdown.html_page(t).encode()}[target](tree)
         if source == "docx" and target == "html":
             return docx.html(data).encode()
-        if source in ("docx", "rtf", "pptx", "doc") and target == "pdf":
+        if source in ("docx", "pptx") and target == "pdf":
+            return {"docx": convert.docx_to_pdf, "pptx": convert.pptx_to_pdf}[source](data)
+        if source in ("rtf", "doc") and target == "pdf":
             return pdf.build((registry.read_text(data, source) or "").split("\n"))
         sheets = registry.read_sheets(data, source)
         return {"xlsx": xlsx.build, "xls": xls.build, "ods": ods.build}[target](sheets)

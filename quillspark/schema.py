@@ -21,13 +21,18 @@ TABLE = "sheet string, name string, ref string, columns array<string>, style str
 CHART = "place string, chart_number int, chart_type string, categories array<string>, series array<struct<name: string, `values`: array<double>>>"
 PIVOT = "sheet string, source string, rows array<string>, columns array<string>, filters array<string>, data array<struct<field: string, function: string, caption: string>>, items map<string, array<string>>"
 NAME = "name string, formula string"
-STYLE = "sheet string, `row` int, col int, number_format string, font_name string, font_size double, bold boolean, italic boolean, font_color string, fill string, horizontal string"
+STYLE = "sheet string, `row` int, col int, number_format string, font_name string, font_size double, bold boolean, italic boolean, font_color string, fill string, horizontal string, vertical string, wrap boolean, underline boolean, border map<string, string>"
 SHEET_INFO = "sheet string, state string, freeze_rows int, freeze_cols int, auto_filter string, tab_color string, protected boolean, page_setup map<string, string>"
+SPARKLINE = "sheet string, type string, ref string, formula string"
+WORKBOOK = "protection map<string, string>, calculation map<string, string>, properties map<string, string>, hidden array<string>"
 IMAGE = "place string, name string, `row` int, col int, data binary"
 PARAGRAPH = "idx int, text string"
-BLOCK = "idx int, kind string, style string, level int, align string, text string, runs array<struct<text: string, bold: boolean, italic: boolean, underline: boolean, strike: boolean, color: string, size: double, link: string>>"
+BLOCK = "idx int, kind string, style string, level int, align string, text string, runs array<struct<text: string, bold: boolean, italic: boolean, underline: boolean, strike: boolean, color: string, size: double, link: string, image: string>>, `rows` array<array<string>>, alias string"
 DOC_TABLE = "idx int, `row` int, cells array<string>"
-SHAPE = "slide int, id int, name string, shape_type string, geometry string, z int, text string, `left` bigint, top bigint, width bigint, height bigint"
+SHAPE = "slide int, id int, parent int, name string, shape_type string, geometry string, z int, text string, `left` bigint, top bigint, width bigint, height bigint"
+DECK_PART = "kind string, number int, name string, xml string"
+SLIDE_COMMENT = "slide int, author string, text string, `date` string"
+MARGINAL = "kind string, idx int, text string"
 SLIDE = "slide int, text string, notes string, transition string"
 GLYPH = "page int, text string, x double, y double, font_size double"
 PDF_INFO = "title string, author string, subject string, creation_date string, pdf_version string, page_count int, fonts array<string>"

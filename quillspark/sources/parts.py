@@ -90,10 +90,23 @@ def _styles(w: xlsx.Workbook, n: str) -> list[dict]:
     out = []
     for c in w.cells(n):
         style = known.setdefault(c["style"], w.cell_style(c["style"]))
-        out.append({"row": c["row"], "col": c["col"], **{k: style.get(k) for k in ("number_format", "font_name", "font_size", "bold", "italic", "font_color", "fill", "horizontal")}})
+        out.append({"row": c["row"], "col": c["col"], **{k: style.get(k) for k in ("number_format", "font_name", "font_size", "bold", "italic", "font_color", "fill", "horizontal", "vertical", "wrap", "underline", "border")}})
     return out
 
 
+def _plain_names(attributes: dict | None) -> dict | None:
+    return None if attributes is None else {k.rpartition("}")[2]: v for k, v in attributes.items()}
+
+
+def _workbook(data: bytes) -> Rows:
+    w = xlsx.Workbook(data)
+    yield {"protection": _plain_names(w.protection()), "calculation": _plain_names(w.calculation()), "properties": w.properties(), "hidden": [n for n, s in w.states.items() if s != "visible"]}
+
+
+def _sparklines(w: xlsx.Workbook, n: str) -> list[dict]:
+    return [{"type": g["type"], **i} for g in w.sparklines(n) for i in g["items"]]
+
+
 def _xlsx_charts(data: bytes) -> Rows:
     w = xlsx.Workbook(data)
     for n in w.sheets:
@@ -117,8 +130,25 @@ def _slides(data: bytes) -> Rows:
 def _shapes(data: bytes) -> Rows:
     d = pptx.Deck(data)
     for k in range(len(d.slides)):
-        for s in d.shapes(k):
-            yield {"slide": k, **s}
+        yield from ({"slide": k, **s} for s in _with_children(d.shapes(k), None))
+
+
+def _with_children(shapes: list[dict], parent: int | None) -> Rows:
+    for s in shapes:
+        yield {**s, "parent": parent}
+        yield from _with_children(s["children"], s["id"])
+
+
+def _deck_parts(data: bytes) -> Rows:
+    d = pptx.Deck(data)
+    for kind in ("slides", "slideMasters", "slideLayouts", "theme"):
+        names = [None] * len(d.slides) if kind == "slides" else d.names(kind)
+        yield from ({"kind": kind, "number": k, "name": n, "xml": d.part_xml(kind, k)} for k, n in enumerate(names))
+
+
+def _slide_comments(data: bytes) -> Rows:
+    d = pptx.Deck(data)
+    return ({"slide": k, **c} for k in range(len(d.slides)) for c in d.comments(k))
 
 
 def _pptx_charts(data: bytes) -> Rows:
@@ -148,9 +178,17 @@ def _paragraphs(texts: Callable[[bytes], list[str]]) -> Callable[[bytes], Rows]:
 
 def _blocks(data: bytes) -> Rows:
     for k, b in enumerate(docx.Document(data).blocks()):
+        if b["kind"] == "table":
+            b = {**b, "rows": [["\n".join(docx.plain(x) for x in c["blocks"]) for c in r] for r in b["rows"]]}
         yield {"idx": k, **b}
 
 
+def _marginals(data: bytes) -> Rows:
+    d = docx.Document(data)
+    for kind, texts in {**d.headers(), **d.notes()}.items():
+        yield from ({"kind": kind, "idx": k, "text": t} for k, t in enumerate(texts))
+
+
 def _markdown_tables(data: bytes) -> list[list[list[str]]]:
     tree = markdown.parse(data.decode("utf-8", "replace"))
     out = []
@@ -194,6 +232,8 @@ PARTS: dict[str, Part] = {
     "xlsx.formats": Part(S.FORMAT, _by_sheet(xlsx.Workbook.conditional_formats)),
     "xlsx.tables": Part(S.TABLE, _by_sheet(xlsx.Workbook.tables)),
     "xlsx.charts": Part(S.CHART, _xlsx_charts),
+    "xlsx.sparklines": Part(S.SPARKLINE, _by_sheet(_sparklines)),
+    "xlsx.workbook": Part(S.WORKBOOK, _workbook),
     "xlsx.images": Part(S.IMAGE, _xlsx_images),
     "xlsx.pivots": Part(S.PIVOT, _by_sheet(xlsx.Workbook.pivots)),
     "xlsx.names": Part(S.NAME, lambda d: ({"name": k, "formula": v} for k, v in xlsx.Workbook(d).names().items())),
@@ -209,6 +249,7 @@ PARTS: dict[str, Part] = {
     "docx.paragraphs": Part(S.PARAGRAPH, _paragraphs(lambda d: docx.Document(d).paragraphs())),
     "docx.tables": Part(S.DOC_TABLE, _doc_tables(lambda d: docx.Document(d).tables())),
     "docx.blocks": Part(S.BLOCK, _blocks),
+    "docx.marginals": Part(S.MARGINAL, _marginals),
     "docx.images": Part(S.FILE, _named(lambda d: docx.Document(d).images())),
     "docx.properties": Part(S.PROPERTIES, lambda d: iter([{"properties": docx.Document(d).properties()}])),
     "doc.paragraphs": Part(S.PARAGRAPH, _paragraphs(doc.paragraphs)),
@@ -216,6 +257,8 @@ PARTS: dict[str, Part] = {
     "pptx.slides": Part(S.SLIDE, _slides),
     "pptx.shapes": Part(S.SHAPE, _shapes),
     "pptx.tables": Part(S.DOC_TABLE, _pptx_tables),
+    "pptx.parts": Part(S.DECK_PART, _deck_parts),
+    "pptx.comments": Part(S.SLIDE_COMMENT, _slide_comments),
     "pptx.charts": Part(S.CHART, _pptx_charts),
     "pptx.images": Part(S.FILE, _named(lambda d: pptx.Deck(d).images())),
     "ppt.slides": Part(S.SLIDE, lambda d: ({"slide": k, "text": t} for k, t in enumerate(doc.slide_texts(d)))),
