@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import lookups, pivot, restructure, rules, templates
 from .sinks import documents
-from .sources import extract, read_table
+from .sources import extract, read_records, read_table
 from .sources.files import extract_markdown, extract_text
 
 PER_FILE = 500  # rows of a document
@@ -406,9 +406,15 @@ for _fmt, _part in (("xls", "xls.rows"), ("ods", "ods.rows"), ("docx", "docx.tab
 def xlsx_round_trip(spark, sf_dir):
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     docs = documents(_numbered(spark, sf_dir, "orders", *columns), "file", "xlsx", columns)
-    got = read_table(extract(docs.withColumn("path", F.col("name")), "xlsx.cells"))
     kind = dict(table(spark, sf_dir, "orders").dtypes)["o_orderdate"]
-    return got.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double"), F.col("o_orderdate").cast(kind), "o_orderpriority")
+    types = {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}
+    return read_records(docs, "xlsx.rows", types, ["file"]).select(*[F.col(c).cast(kind) if c == "o_orderdate" else c for c in columns])
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def supplier_inferred(spark, sf_dir):
+    docs = documents(_numbered(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal"), "file", "xlsx", ["s_suppkey", "s_name", "s_acctbal"])
+    return read_table(extract(docs.withColumn("path", F.col("name")), "xlsx.cells")).select("s_suppkey", "s_name", F.col("s_acctbal").cast("double"))
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
@@ -483,3 +489,6 @@ def region_converted(spark, sf_dir):
     rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("file"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     xls = converted(converted(documents(rows, "file", "xlsx", ["key", "name"]), "xlsx", "ods"), "ods", "xls")
     return xls.select(F.col("file").alias("r_regionkey"), extract_text("content", F.lit("xls")).alias("text"))
+
+
+from . import document_queries  # noqa: E402,F401  registers its queries here

@@ -46,14 +46,15 @@ RECORDS: dict[str, Callable[[list[dict]], bytes]] = {
 }
 
 
-def documents(df: DataFrame, key: str, fmt: str, columns: list[str] | None = None, order: str | None = None) -> DataFrame:
+def documents(df: DataFrame, key: str, fmt: str, columns: list[str] | None = None, order: str | None = None, build: Callable[[list[dict]], bytes] | None = None) -> DataFrame:
     """key, name and content: one document for each value of key, with its rows in order.
 
     A document is built from all its rows at once, as its format needs; keys must be of bounded size, e.g. a
-    row number divided by the rows a file may have. A null key is a document of its own.
+    row number divided by the rows a file may have. A null key is a document of its own. build makes the bytes from
+    the rows in another way than a plain table or list of records.
     """
     columns = columns or [c for c in df.columns if c not in (key, order)]
-    build = RECORDS.get(fmt) or (lambda rows: TABLES[fmt](_grid(rows, columns)))
+    build = build or RECORDS.get(fmt) or (lambda rows: TABLES[fmt](_grid(rows, columns)))
     source = df.select(F.col(key).alias("_key"), *([F.col(order).alias("_order")] if order else []), *columns)
     kind = source.schema["_key"].dataType
 

@@ -48,11 +48,12 @@ def _mapped(df: DataFrame, keep: list[str], content: str, schema: str, rows: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[dict] = []
+            owner: list[int] = []
+            beside = b.select(kept.names)
             for i in range(len(b)):
                 data = b.column("_content")[i].as_py()
                 if data is None:
                     continue
-                own = {n: b.column(n)[i].as_py() for n in kept.names}
                 try:
                     found = rows(data) if errors == "raise" else list(rows(data))
                 except Exception:
@@ -60,20 +61,21 @@ def _mapped(df: DataFrame, keep: list[str], content: str, schema: str, rows: Cal
                         raise
                     found = [{}] if errors == "null" else []
                 for r in found:
-                    held.append({**{k: r.get(k) for k in arrow.names if k not in own}, **own})
+                    held.append(r)
+                    owner.append(i)
                     if len(held) >= BATCH_ROWS:
-                        yield _batch(held, arrow)
-                        held = []
+                        yield _batch(held, beside.take(pa.array(owner)), arrow)
+                        held, owner = [], []
             if held:
-                yield _batch(held, arrow)
+                yield _batch(held, beside.take(pa.array(owner)), arrow)
 
     return source.mapInArrow(run, out)
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    cols = []
-    for f in schema:
-        values = [r[f.name] for r in rows]
+def _batch(rows: list[dict], beside: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(beside.columns)
+    for f in list(schema)[len(cols) :]:
+        values = [r.get(f.name) for r in rows]
         if pa.types.is_map(f.type):
             values = [None if v is None else list(v.items()) for v in values]
         cols.append(pa.array(values, f.type))
@@ -122,6 +124,33 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return _read_any(spark, path, extract_markdown("content", "ext"), "markdown")
 
 
+def read_records(df: DataFrame, part: str, schema: dict[str, str], keep: list[str] | None = None, sheet: str | None = None, content: str = "content", errors: str = "raise") -> DataFrame:
+    """The tables of files as typed records: the first row of each sheet or table names its columns, in any order and
+    case, so files needn't agree. part: one of rows, such as xlsx.rows or docx.tables. What a table lacks or what
+    can't be cast is null; a table without a row below its header gives none. One pass over the files, no shuffle.
+    """
+    p = PARTS[part]
+    place = "sheet" if part.endswith(".rows") else "idx"
+    wanted = [n.strip().lower() for n in schema]
+
+    def aligned(data: bytes) -> Iterator[dict]:
+        here, at = None, []
+        for r in p.rows(data):
+            if sheet is not None and r[place] != sheet:
+                continue
+            cells = r["cells"]
+            if r[place] != here:
+                here = r[place]
+                names = [(c or "").strip().lower() for c in cells]
+                at = [names.index(n) if n in names else len(names) + (1 << 20) for n in wanted]
+            else:
+                yield {"_cells": [cells[i] if i < len(cells) else None for i in at]}
+
+    keep = ["path"] if keep is None else keep
+    rows = _mapped(df, keep, content, "_cells array<string>", aligned, errors)
+    return rows.select(*keep, *[F.col("_cells")[i].try_cast(kind).alias(name) for i, (name, kind) in enumerate(schema.items())])
+
+
 # Kinds of cells, from the narrowest; a column takes the widest that it holds, any mix with others is text.
 _NUMBERS = {"integer": 0, "decimal": 1, "double": 2}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.formats import docx, mail, markdown, pdf, pptx, rtf, xlsx
 from quillspark.plans import extraction
 from quillspark.sinks import documents, write_files
-from quillspark.sources import extract, files, read, read_markdown, read_table, read_text, register
+from quillspark.sources import extract, files, read, read_markdown, read_records, read_table, read_text, register
 from quillspark.sources.files import _mapped
 from quillspark.sources.parts import PARTS
 from quillspark.streaming import ingest
@@ -47,6 +47,16 @@ def test_typed_table(spark, folder):
     assert read_table(cells, "missing").count() == 0
 
 
+def test_records(spark):
+    """By each file's own header, in any order and case; what lacks or can't be cast is null; keeps clashing names apart."""
+    one = xlsx.build([("S", [["ID", "name", "extra"], [1, "a", 9], ["x", None, 9], [2]]), ("T", [["name"], ["other"]])])
+    two = xlsx.build([("S", [["Name ", "id"], ["b", 3]])])
+    df = spark.createDataFrame([("p", one), ("q", two), ("r", None), ("s", xlsx.build([("S", [])]))], "path string, content binary")
+    got = read_records(df, "xlsx.rows", {"id": "bigint", "name": "string", "when": "timestamp"}, sheet="S")
+    assert sorted(map(tuple, got.collect()), key=str) == [("p", 1, "a", None), ("p", 2, None, None), ("p", None, None, None), ("q", 3, "b", None)]
+    assert {r.name for r in read_records(df, "xlsx.rows", {"name": "string"}).collect()} == {"a", None, "other", "b"}
+
+
 def test_errors(spark, folder):
     bad = files(spark, folder, "*.docx")
     with pytest.raises(Exception, match="zip"):
