@@ -380,6 +380,56 @@ def paragraph(content: str) -> Node:
     return node("paragraph", children=inline(content))
 
 
+def paragraph_of(*inlines: Node | str) -> Node:
+    """A paragraph of inline nodes; a string is text as it stands."""
+    return node("paragraph", children=_nodes(inlines))
+
+
+def _nodes(inlines) -> list[Node]:
+    return [literal(i) if isinstance(i, str) else i for i in inlines]
+
+
+def literal(content: str) -> Node:
+    """Text as it stands, whatever marks it holds."""
+    return node("text", text=content)
+
+
+def strong(*inlines: Node | str) -> Node:
+    return node("strong", children=_nodes(inlines))
+
+
+def emphasis(*inlines: Node | str) -> Node:
+    return node("emphasis", children=_nodes(inlines))
+
+
+def strong_emphasis(*inlines: Node | str) -> Node:
+    return node("strong_emphasis", children=_nodes(inlines))
+
+
+def strike(*inlines: Node | str) -> Node:
+    return node("strike", children=_nodes(inlines))
+
+
+def code(content: str) -> Node:
+    return node("code", text=content)
+
+
+def link(label: str | Node, url: str, title: str | None = None) -> Node:
+    return node("link", url=url, title=title, children=_nodes([label]))
+
+
+def image(alt: str, url: str, title: str | None = None) -> Node:
+    return node("image", url=url, title=title, text=alt)
+
+
+def line_break(hard: bool = True) -> Node:
+    return node("hard_break" if hard else "soft_break")
+
+
+def html_inline(content: str) -> Node:
+    return node("html_inline", text=content)
+
+
 def code_block(content: str, info: str = "") -> Node:
     return node("code_block", info=info, text=content)
 

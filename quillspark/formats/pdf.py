@@ -7,7 +7,7 @@ import binascii
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 UNPACKED = 1 << 28  # bytes of one stream, unpacked
 
@@ -615,6 +615,30 @@ def operators(content: bytes) -> Iterator[tuple[list, bytes]]:
             stack.append(v)
 
 
+def object_bytes(v) -> bytes:
+    """An object as a content stream holds it."""
+    if v is None:
+        return b"null"
+    if isinstance(v, bool):
+        return b"true" if v else b"false"
+    if isinstance(v, Name):
+        return b"/" + re.sub(rb"[^!-~]|[#()<>\[\]{}/%]", lambda m: b"#%02X" % m[0][0], v.encode("latin-1"))
+    if isinstance(v, bytes):
+        return b"<" + v.hex().encode() + b">"
+    if isinstance(v, dict):
+        return b"<< " + b"".join(object_bytes(Name(k)) + b" " + object_bytes(x) + b" " for k, x in v.items()) + b">>"
+    if isinstance(v, Ref):
+        return b"%d %d R" % v
+    if isinstance(v, list):
+        return b"[" + b" ".join(map(object_bytes, v)) + b"]"
+    return repr(v).encode() if isinstance(v, int) else f"{v:.6f}".rstrip("0").encode()
+
+
+def operator_bytes(ops: Iterable[tuple[list, bytes]]) -> bytes:
+    """A content stream of (operands, operator), as operators() yields them."""
+    return b"".join(b" ".join([*map(object_bytes, operands), operator]) + b"\n" for operands, operator in ops)
+
+
 def _times(a: tuple, b: tuple) -> tuple:
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 

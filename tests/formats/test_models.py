@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from quillspark.formats import convert, docx, pdf, pptx, xlsx
+from quillspark.formats import convert, docx, markdown, pdf, pptx, xlsx
 from quillspark.sources.parts import PARTS
 
 JPEG = b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x02\x00\x03\x03\xff\xd9"
@@ -117,6 +117,23 @@ def test_fields_opacity_and_overlay():
         pdf.images_of_pages(b"")
 
 
+def test_content_operators():
+    ops = [([], b"q"), ([1, -0.5, pdf.Name("a b#"), b"(x)\\", [b"k", -20, 3], {"K": True, "N": None}], b"Do"), ([pdf.Name("F1"), 12], b"Tf")]
+    assert list(pdf.operators(pdf.operator_bytes(ops))) == ops
+    page = pdf.Document(pdf.build(["line one", "two"]))
+    own = list(pdf.operators(page.contents(page.pages()[0])))
+    assert own and list(pdf.operators(pdf.operator_bytes(own))) == own
+
+
+def test_inline_factories():
+    M = markdown
+    p = M.paragraph_of("a*b ", M.strong("s"), " ", M.emphasis("e"), " ", M.strong_emphasis("se"), " ", M.strike("x"), " ", M.code("c`d"), " ", M.link("l", "u", "t"), " ", M.image("i", "v"), M.line_break(), "z ", M.html_inline("<br>"), "!")
+    written = M.markdown(M.document(p))
+    again = M.parse(written)["children"][0]
+    assert [n["kind"] for n in again["children"]] == [n["kind"] for n in p["children"]]
+    assert M.plain(again) == M.plain(p) == "a*b s e se x c`d l i\nz !"
+
+
 def test_deck_tables_and_layouts():
     rows = pptx.table_row([["h", "i"], ["1"]], ["2", "3"])
     assert pptx.table_without(rows, 9) == rows and pptx.table_without(rows, 1) == [["h", "i"], ["2", "3"]]
